@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import map_batches
+from tidelog.llm.common import extended, map_batches
 
 #: Distinct pieces that one Python worker remembers; beyond it the memory starts anew.
 CACHE_PIECES = 500_000
@@ -261,8 +261,7 @@ def bpe_encode(df: DataFrame, model: BpeModel, text: str = "text", ids: str = "i
             n = pa.array([len(p) // 4 for p in packed], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), n], names=[*kept, ids, count])
 
-    schema = df.schema.add(ids, "binary").add(count, "long")
-    return map_batches(df, run, schema)
+    return map_batches(df, run, extended(df.schema, (ids, "binary"), (count, "long")))
 
 
 def bpe_decode(df: DataFrame, model: BpeModel, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -277,4 +276,4 @@ def bpe_decode(df: DataFrame, model: BpeModel, ids: str = "ids", decoded: str =
             out = [decode_ids(bytes_of, p) for p in b.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*kept, decoded])
 
-    return map_batches(df, run, df.schema.add(decoded, "binary"))
+    return map_batches(df, run, extended(df.schema, (decoded, "binary")))

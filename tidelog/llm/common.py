@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes that an Arrow batch for a Python worker holds at most (one row may be larger).
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -20,9 +21,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with bounded batches. fn finds columns by place: names may hold dots or differ in case only."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(fn, schema)
+
+
+def extended(schema: StructType, *added: tuple[str, str]) -> StructType:
+    """A schema of the same fields and (name, type) ones behind them."""
+    out = StructType(list(schema.fields))
+    for name, kind in added:
+        out = out.add(name, kind)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
