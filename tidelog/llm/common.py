@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows and bytes that an Arrow batch for a Python worker holds at most (one row may be larger).
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -28,11 +28,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def extended(schema: StructType, *added: tuple[str, str]) -> StructType:
-    """A schema of the same fields and (name, type) ones behind them."""
-    out = StructType(list(schema.fields))
-    for name, kind in added:
-        out = out.add(name, kind)
-    return out
+    """A schema of the same fields and (name, DDL type) ones behind them."""
+    return StructType([*schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in added)])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, simhash
+from tidelog.llm import bpe, decontaminate, simhash
 from tidelog.llm.common import only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,9 +33,26 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark."""
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = decontaminate.find_phrases(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start)
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op6_decontaminate": op6_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
