@@ -14,6 +14,7 @@ Repeated rows and extra columns pass through unchanged.
 from __future__ import annotations
 
 import base64
+import re
 from itertools import islice
 from struct import pack
 
@@ -178,6 +179,52 @@ class PrefixEncoding:
         return self.merges.walk_back(self.last)
 
 
+#: Below this code point the standard library's engine splits texts, with the same classes and at twice the speed.
+LATIN_END = 0x250
+
+
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts below LATIN_END, its classes spelled out; None if it has other classes than these."""
+    members = {
+        k: "".join(re.escape(chr(c)) for c in range(LATIN_END) if regex.fullmatch(k, chr(c))) for k in (r"\p{L}", r"\p{N}", r"\s")
+    }
+    out, inside = "", False
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, regex.DOTALL):
+        if part in members:
+            out += members[part] if inside else f"[{members[part]}]"
+        elif part == r"\S" and not inside:
+            out += f"[^{members[chr(92) + 's']}]"
+        elif part[0] == "\\" and part[1:2].isalnum():
+            return None
+        else:
+            inside = part == "[" or (inside and part != "]")
+            out += part
+    return re.compile(out)
+
+
+class Splitter:
+    """Pieces of a text: the matches of the pattern."""
+
+    def __init__(self, pattern: str):
+        self.any, self.latin = regex.compile(pattern), latin_pattern(pattern)
+        self.beyond = re.compile(f"[^\0-{chr(LATIN_END - 1)}]")
+
+    def _engine(self, text: str):
+        return self.latin if self.latin and not self.beyond.search(text) else self.any
+
+    def findall(self, text: str) -> list[str]:
+        return self._engine(text).findall(text)
+
+    def blocks(self, text: str, size: int = BLOCK_PIECES):
+        """Lists of pieces; those of a very long text come a block at a time."""
+        if len(text) < 4 * size:
+            yield self.findall(text)
+            return
+        found = self._engine(text).finditer(text)
+        while block := [m[0] for m in islice(found, size)]:
+            yield block
+
+
 class _Pieces(dict):
     """piece -> its ids, packed little-endian."""
 
@@ -202,7 +249,7 @@ class TextCodec:
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges = merges
-        self.pattern = regex.compile(pattern)
+        self.splitter = Splitter(pattern)
         self.pieces = _Pieces(merges)
 
     def encode(self, text: str | None) -> bytes:
@@ -210,12 +257,7 @@ class TextCodec:
         if not text:
             return b""
         known = self.pieces
-        if len(text) < 4 * BLOCK_PIECES:
-            return b"".join([known[p] for p in self.pattern.findall(text)])
-        found, parts = self.pattern.finditer(text), []
-        while block := [known[m[0]] for m in islice(found, BLOCK_PIECES)]:
-            parts.append(b"".join(block))
-        return b"".join(parts)
+        return b"".join([b"".join([known[p] for p in block]) for block in self.splitter.blocks(text)])
 
 
 def decode_ids(bytes_of: list[bytes], packed: bytes | None) -> bytes:

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, simhash
-from tidelog.llm.common import only, table
+from tidelog.llm import bpe, decontaminate, simhash, token_file
+from tidelog.llm.common import new_path, only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -49,10 +49,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as rANS blocks and read back."""
+    folder = new_path(spark, "token-file")
+    token_file.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_file.read_tokens(spark, folder).select(
+        F.col("id").alias("doc_id"),
+        "start",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op4_token_file": op4_token_file,
 }
 
 ORACLES: dict[str, str] = {}
