@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, simhash, token_file
+from tidelog.llm import bpe, decontaminate, langid, simhash, token_file
 from tidelog.llm.common import new_path, only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,11 +61,19 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(only(docs, "doc_id", "text"), langid.fitted(docs)).drop("text")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op4_token_file": op4_token_file,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {}
