@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, simhash, token_file
+from tidelog.llm import bpe, decontaminate, langid, simhash, token_file, toxicity
 from tidelog.llm.common import new_path, only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -68,12 +68,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).drop("text")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op4_token_file": op4_token_file,
     "op10_langid": op10_langid,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
