@@ -27,65 +27,62 @@ from tidelog.llm.common import map_batches, new_path, only, remove
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
 BLOCK_IDS, GROUP_IDS = 65_536, 2_000_000
 CACHE_PIECES = 500_000
-#: Characters of text split at a time, and pieces that are handed to the library as one text.
-GROUP_CHARS, JOINED = 500_000, 200
+#: Characters of text split at a time, and pieces that are handed to the library at once.
+GROUP_CHARS, JOINED = 500_000, 500
 
 
 class LibraryCodec:
     """Whole texts by the tokenizers library, which sees each distinct piece of its split once.
 
-    The library encodes the pieces of its pattern independently. Pieces not seen lately are encoded by it:
-    runs of letters with a space before them many at a time, as one text that splits into them again.
+    The library encodes the pieces of its pattern independently. Pieces not seen lately are handed to it as
+    pieces, many at a time; how many bytes each token spells tells which of the ids are whose.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, more: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are split already
         vocabulary = self.library.get_vocab()
-        self.size = max(vocabulary.values()) + 1
+        self.size = max(max(vocabulary.values()), more) + 1
+        self.kind = id_type(self.size)
         self.bytes_in = np.zeros(self.size, np.int64)  # byte-level tokens spell a byte with one character
         for token, i in vocabulary.items():
             self.bytes_in[i] = len(token)
         self.splitter = Splitter(pattern)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known.clear()
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        alone = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        encoded = self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+    def _learn(self, pieces: list[str]) -> None:
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        encoded = self.library.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        width = self.kind.itemsize
         for group, e in zip(groups, encoded, strict=True):
-            ids = np.array(e.ids, "<u4")
+            ids = np.array(e.ids, self.kind)
             reach = np.cumsum(self.bytes_in[ids])
-            ends = np.cumsum(np.fromiter((len(p.encode("utf-8")) for p in group), np.int64, len(group)))
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)))
             cuts = np.searchsorted(reach, ends) + 1
-            if len(reach) < cuts[-1] or (reach[cuts - 1] != ends).any():
-                alone += group  # the library split this text otherwise
-                continue
-            data = ids.tobytes()
-            at = 0
-            for p, cut in zip(group, (4 * cuts).tolist(), strict=True):
-                self.known[p] = data[at:cut]
-                at = cut
-        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+            if (reach[cuts - 1] != ends).any():
+                raise ValueError("the library's tokens don't spell the pieces")
+            data, cuts = ids.tobytes(), (width * cuts).tolist()
+            self.known.update(zip(group, [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
 
     def _packed(self, lists: list[list[str]]) -> list[bytes]:
-        known = self.known
-        missing = {p for pieces in lists for p in pieces if p not in known}
-        if missing:
-            if len(known) + len(missing) > CACHE_PIECES:
-                missing = {p for pieces in lists for p in pieces}
-            self._learn(missing)
-        return [b"".join([known[p] for p in pieces]) for pieces in lists]
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        get = self.known.get
+        found = [list(map(get, pieces)) for pieces in lists]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        if missing := {pieces[i] for pieces, gap in zip(lists, gaps, strict=True) for i in gap}:
+            self._learn(list(missing))
+        for pieces, ids, gap in zip(lists, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = get(pieces[i])
+        return [b"".join(ids) for ids in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text."""
+        """Packed ids (of type `kind`) of each text."""
         out: list[bytes] = []
         group: list[str] = []
         size = 0
@@ -103,14 +100,20 @@ class LibraryCodec:
         return out + self._packed([self.splitter.findall(t) for t in group])
 
 
-_codecs: dict[tuple[str, str], LibraryCodec] = {}
+def id_type(size: int) -> np.dtype:
+    """The narrowest little-endian type for ids below `size`."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-def _codec(path: str, pattern: str) -> LibraryCodec:
-    if (path, pattern) not in _codecs:
+_codecs: dict[tuple[str, str, int], LibraryCodec] = {}
+
+
+def _codec(path: str, pattern: str, end_id: int) -> LibraryCodec:
+    key = (path, pattern, end_id)
+    if key not in _codecs:
         _codecs.clear()
-        _codecs[path, pattern] = LibraryCodec(path, pattern)
-    return _codecs[path, pattern]
+        _codecs[key] = LibraryCodec(*key)
+    return _codecs[key]
 
 
 def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
@@ -129,49 +132,65 @@ def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: In the table of packed ids, `at` of the row that holds a part's counts instead of a document.
+COUNTS = -1
+
+
 def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, at, id, ids): packed ids of each text and the end id, in ranges of ascending id; `at` ids of its part come before."""
+    """(part, at, id, ids): packed ids of each text and the end id, in ranges of ascending id; `at` ids of its part come before.
+
+    Each part that isn't empty ends with a row of `at` = COUNTS: ids has how often each id occurs in the part, as 64-bit integers.
+    """
     docs = only(docs, id_col, text_col).toDF("id", "text")
     tie = F.xxhash64("text")  # so that rows of one id can part, and the sample that sets the ranges stays small
     ranged = docs.repartitionByRange(F.col("id"), tie).sortWithinPartitions("id", tie).withColumn("part", F.spark_partition_id())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        codec, at = _codec(path, pattern), 0
+        codec, at, part = _codec(path, pattern, end_id), 0, None
+        end, width = np.array([end_id], codec.kind).tobytes(), codec.kind.itemsize
+        counts = np.zeros(codec.size, np.int64)
         for b in batches:
             packed = [p + end for p in codec.encode(b.column(1).to_pylist())]
-            sizes = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
+            sizes = np.fromiter((len(p) // width for p in packed), np.int64, len(packed))
             before = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(before), b.column(0), pa.array(packed, pa.binary())], names=["part", "at", "id", "ids"])
+            column = pa.array(packed, pa.binary())
+            del packed
+            ids = np.frombuffer(column.buffers()[2], codec.kind, int(sizes.sum()))
+            for i in range(0, len(ids), 1 << 20):
+                counts += np.bincount(ids[i : i + (1 << 20)], minlength=codec.size)
+            part = b.column(2)[:1] if b.num_rows else part
+            kind = b.column(0).type
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(before), b.column(0), column], names=["part", "at", "id", "ids"])
+        if part is not None:
+            own = [part, pa.array([COUNTS], pa.int64()), pa.nulls(1, kind), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=["part", "at", "id", "ids"])
 
     return map_batches(ranged, run, f"part int, at long, id {docs.schema[0].dataType.simpleString()}, ids binary")
 
 
 def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in all rows; what reaches the driver is bounded by the vocabulary."""
+    """How often each id occurs in all parts; what reaches the driver is bounded by the vocabulary."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
             for p in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(p, "<u4"), minlength=size) if len(p) > 4 * size else 0
-            small = b"".join(p for p in b.column(0).to_pylist() if len(p) <= 4 * size)
-            total += np.bincount(np.frombuffer(small, "<u4"), minlength=size)
+                total += np.frombuffer(p, "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["token", "n"])
 
-    rows = map_batches(tokens.select("ids"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    own = tokens.where(F.col("at") == COUNTS).select("ids")
+    rows = map_batches(own, run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
-    for r in rows:
-        counts[r.token] = r.n
+    counts[rows.column("token").to_numpy()] = rows.column("n").to_numpy()
     return counts
 
 
 BLOCKS = "start bigint, doc_ids array<{kind}>, sizes array<bigint>, payload binary"
 
 
-def _blocks(rows: Iterator[tuple[int, object, bytes]], freq: np.ndarray, kind) -> Iterator[pa.RecordBatch]:
+def _blocks(rows: Iterator[tuple[int, object, bytes]], freq: np.ndarray, kind, packing: np.dtype) -> Iterator[pa.RecordBatch]:
     """Rows (start, id, packed ids) in order to batches of coded blocks."""
     table = rans.FrequencyTable(freq)
     done: list[tuple[int, list, list, np.ndarray]] = []
@@ -190,7 +209,7 @@ def _blocks(rows: Iterator[tuple[int, object, bytes]], freq: np.ndarray, kind) -
     def close():
         nonlocal ids, sizes, parts, held, size
         if ids:
-            done.append((start, ids, sizes, np.frombuffer(b"".join(parts), "<u4")))
+            done.append((start, ids, sizes, np.frombuffer(b"".join(parts), packing)))
             held += size
             ids, sizes, parts, size = [], [], [], 0
 
@@ -203,10 +222,10 @@ def _blocks(rows: Iterator[tuple[int, object, bytes]], freq: np.ndarray, kind) -
                 held = 0
             start = at
         ids.append(doc)
-        sizes.append(len(packed) // 4)
+        sizes.append(len(packed) // packing.itemsize)
         parts.append(packed)
         size += sizes[-1]
-        following = at + len(packed) // 4
+        following = at + sizes[-1]
     close()
     if done:
         yield batch()
@@ -218,10 +237,12 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
 
     spark = docs.sparkSession
     work = new_path(spark, "tokens")
-    tokens = _write(tokenized(docs, path, pattern, end_id, id_col, text_col), work, "zstd")
-    size = max(LibraryCodec(path, pattern).size, end_id + 1)
+    tokens = _write(tokenized(docs, path, pattern, end_id, id_col, text_col), work, "lz4_raw")
+    size = LibraryCodec(path, pattern, end_id).size
+    packing = id_type(size)
     table = rans.FrequencyTable.from_counts(count_ids(tokens, size))
-    ends = tokens.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 4).cast("bigint").alias("n")).orderBy("part").collect()
+    documents = tokens.where(F.col("at") >= 0)
+    ends = documents.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / packing.itemsize).cast("bigint").alias("n")).orderBy("part").collect()
     before, total = {}, 0  # a number for each partition
     for r in ends:
         before[r.part], total = total, total + r.n
@@ -230,14 +251,16 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
     freq = spark.sparkContext.broadcast(table.freq.astype(np.uint32))
 
     def run(batches):
+        _codecs.clear()  # a worker that has tokenized needs no pieces any more
+
         def rows():
             for b in batches:
                 for part, at, doc, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     yield before[part] + at, doc, packed
 
-        yield from _blocks(rows(), freq.value, arrow_kind)
+        yield from _blocks(rows(), freq.value, arrow_kind, packing)
 
-    blocks = map_batches(tokens, run, BLOCKS.format(kind=kind.simpleString()))
+    blocks = map_batches(documents, run, BLOCKS.format(kind=kind.simpleString()))
     blocks.write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     spark.createDataFrame([(bytes(table.freq.astype("<u4").tobytes()),)], "frequencies binary").coalesce(1).write.parquet(f"{out}/frequencies")
     remove(spark, work)
@@ -245,11 +268,12 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, start, ids) of each document, decoded from the files, each block on its own."""
+    """(id, start, ids as 32-bit integers) of each document, decoded from the files, each block on its own."""
     freq = spark.sparkContext.broadcast(np.frombuffer(bytes(spark.read.parquet(f"{folder}/frequencies").first()[0]), "<u4"))
     blocks = spark.read.parquet(f"{folder}/blocks")
 
     def run(batches):
+        _codecs.clear()
         table = rans.FrequencyTable(freq.value)
         for b in batches:
             for i in range(0, b.num_rows, 16):
