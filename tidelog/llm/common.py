@@ -15,15 +15,15 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds, so that workers need memory for a batch and not for a partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with bounded batches. fn finds columns by place: names may hold dots or differ in case only."""
-    small_batches(df.sparkSession)
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with bounded batches (pass fewer `rows` where each is large). fn finds columns by place: names may hold dots or differ in case only."""
+    small_batches(df.sparkSession, rows)
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(fn, schema)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, simhash, token_file, toxicity
+from tidelog.llm import bpe, decontaminate, langid, simhash, token_file, topk, toxicity
 from tidelog.llm.common import new_path, only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_matches")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by inner product for each row whose id is divisible by 100."""
+    index = topk.Index(table(spark, sf_dir, "embeddings"), 10)
+    return topk.search(index, index.rows.where(F.col("id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_file": op4_token_file,
     "op10_langid": op10_langid,
     "op7_toxicity": op7_toxicity,
+    "op5_topk": op5_topk,
 }
 
 ORACLES: dict[str, str] = {}

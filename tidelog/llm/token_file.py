@@ -289,6 +289,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, b.column(1).type.value_type), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["id", "start", "ids"])
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return map_batches(blocks, run, f"id {kind}, start bigint, ids binary")
+    return map_batches(blocks, run, f"id {kind}, start bigint, ids binary", rows=32)
 
 
