@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, simhash, token_file, topk, toxicity
+from tidelog.llm import bpe, chat, decontaminate, langid, simhash, token_file, topk, toxicity, warc
 from tidelog.llm.common import new_path, only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -82,6 +82,19 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(index, index.rows.where(F.col("id") % 100 == 0))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back."""
+    return chat.read_back(chat.format_conversations(chat.planted(table(spark, sf_dir, "conversations"))))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back."""
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    records = warc.read_warc(spark, path, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -90,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op7_toxicity": op7_toxicity,
     "op5_topk": op5_topk,
+    "op8_chat": op8_chat,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {}
