@@ -17,6 +17,9 @@ import numpy as np
 SCALE = 20
 LANES, SEGMENT = 8, 8192
 START = np.uint64(1 << 31)
+LOW, BITS, WORD = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
+#: A product with it adds up the bytes of a number from the lowest on: running sums over eight lanes.
+RUNNING = np.uint64(0x0101010101010101)
 MAGIC = b"TRA1"
 _HEAD = struct.Struct("<4sIIIII")  # magic, table checksum, ids, segments, words, crc of the ids
 
@@ -30,14 +33,18 @@ class FrequencyTable:
             raise ValueError("frequencies must sum to 2**SCALE")
         self.start = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64)
         self.checksum = zlib.crc32(self.freq.astype("<u4").tobytes())
-        self._symbol: np.ndarray | None = None
+        #: For the encoder: an id's start and frequency in one number.
+        self.packed = self.start << np.uint64(SCALE) | np.maximum(self.freq, 1) - np.uint64(1)
+        self._slots: np.ndarray | None = None
 
     @property
-    def symbol(self) -> np.ndarray:
-        """The id that owns each slot."""
-        if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        return self._symbol
+    def slots(self) -> np.ndarray:
+        """For the decoder: of each slot the id, its place among the id's slots, and the id's frequency less one, in one number."""
+        if self._slots is None:
+            times = self.freq.astype(np.int64)
+            place = np.arange(1 << SCALE, dtype=np.uint64) - np.repeat(self.start, times)
+            self._slots = np.repeat(np.arange(len(times), dtype=np.uint64) << np.uint64(2 * SCALE) | self.packed & LOW, times) | place << np.uint64(SCALE)
+        return self._slots
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> FrequencyTable:
@@ -64,39 +71,62 @@ class FrequencyTable:
         return cls(freq)
 
 
-def _laid_out(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids as (segments, steps, lanes), and which places hold one."""
-    segments = -(-len(ids) // SEGMENT)
-    flat = np.zeros(segments * SEGMENT, np.int64)
-    flat[: len(ids)] = ids
-    held = np.arange(segments * SEGMENT) < len(ids)
-    shape = (segments, SEGMENT // LANES, LANES)
-    return flat.reshape(shape), held.reshape(shape)
+def _lengths(sizes: list[int]) -> np.ndarray:
+    """Ids in each segment of blocks of these sizes."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.minimum(SEGMENT, n - SEGMENT * np.arange(-(-n // SEGMENT))) for n in sizes)]).astype(np.int64)
+
+
+def _quotient(x: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """x // f, where it is below 2**43: floating division is off by one at most, which the remainder shows."""
+    q = (x.astype(np.float64) / f.astype(np.float64)).astype(np.uint64)
+    rest = (x - q * f).view(np.int64)
+    q -= rest < 0
+    q += rest >= f.view(np.int64)
+    return q
 
 
 def encode_blocks(blocks: list[np.ndarray], table: FrequencyTable) -> list[bytes]:
-    """One payload for each array of ids, all coded side by side."""
-    laid = [_laid_out(b) for b in blocks]
-    ids = np.concatenate([x for x, _ in laid]) if laid else np.zeros((0, 1, LANES), np.int64)
-    held = np.concatenate([h for _, h in laid]) if laid else np.zeros((0, 1, LANES), bool)
-    if len(blocks) and any(len(b) and not table.freq[b.astype(np.int64)].all() for b in blocks):
-        raise ValueError("an id has no frequency in the table")
-    state = np.full((ids.shape[0], LANES), START, np.uint64)
-    out = np.zeros(ids.shape, np.uint32)
-    sent = np.zeros(ids.shape, bool)
-    room = np.uint64(31 - SCALE + 32)
-    for step in range(ids.shape[1] - 1, -1, -1):
-        live = held[:, step]
-        if not live.any():
+    """One payload for each array of ids, all coded side by side: a row of lanes per segment, longest segments first."""
+    lengths = _lengths([len(b) for b in blocks])
+    order = np.argsort(-lengths, kind="stable")
+    rows, steps = len(lengths), SEGMENT // LANES
+    flat = np.zeros((rows, SEGMENT), np.uint32)
+    at = 0
+    for b in blocks:
+        if len(b) and not table.freq[b].all():
+            raise ValueError("an id has no frequency in the table")
+        n = -(-len(b) // SEGMENT)
+        flat[at : at + n].reshape(-1)[: len(b)] = b
+        at += n
+    ids = np.ascontiguousarray(flat[order].reshape(rows, steps, LANES).transpose(1, 0, 2))
+    state = np.full((rows, LANES), START, np.uint64)
+    out, sent = np.zeros(ids.shape, np.uint32), np.zeros(ids.shape, bool)
+    room, all_slots = np.uint64(31 - SCALE + 32), np.uint64(1 << SCALE)
+    sizes = lengths[order]
+    for step in range(steps - 1, -1, -1):
+        used = int((sizes > step * LANES).sum())
+        if not used:
             continue
-        s = ids[:, step]
-        f = np.where(live, table.freq[s], np.uint64(1))
-        full = live & (state >= f << room)
-        out[:, step] = state.astype(np.uint32)
-        sent[:, step] = full
-        x = np.where(full, state >> np.uint64(32), state)
-        q = x // f
-        state = np.where(live, (q << np.uint64(SCALE)) + (x - q * f) + table.start[s], state)
+        s, x = ids[step, :used], state[:used]
+        p = table.packed[s]
+        f = (p & LOW) + np.uint64(1)
+        full = x >= f << room
+        whole = int((sizes >= (step + 1) * LANES).sum())
+        if whole < used:  # segments that end within this step
+            live = step * LANES + np.arange(LANES) < sizes[whole:used, None]
+            full[whole:] &= live
+        out[step, :used] = x
+        sent[step, :used] = full
+        x = np.where(full, x >> WORD, x)
+        new = x + _quotient(x, f) * (all_slots - f) + (p >> BITS)
+        if whole < used:
+            new[whole:] = np.where(live, new[whole:], x[whole:])
+        state[:used] = new
+    back = np.empty(rows, np.int64)
+    back[order] = np.arange(rows)
+    out, sent, state = (np.ascontiguousarray(v.transpose(1, 0, 2))[back] for v in (out, sent, state[None]))
+    state = state[:, 0]
+    laid = [(range(-(-len(b) // SEGMENT)), None) for b in blocks]
     payloads, at = [], 0
     for b, (x, _) in zip(blocks, laid, strict=True):
         n = len(x)
@@ -128,26 +158,38 @@ def decode_blocks(payloads: list[bytes], table: FrequencyTable) -> list[np.ndarr
         bases.append(base)
     if not payloads:
         return []
-    stream = np.concatenate([*words, np.zeros(LANES, np.uint32)]).astype(np.uint64)
+    stream = np.concatenate([*words, np.zeros(SEGMENT + 1, np.uint32)]).astype(np.uint64)  # damaged blocks may ask for more
     at, state = np.concatenate(first), np.concatenate(states).astype(np.uint64)
     ends = np.concatenate([np.append(f[1:], e) if len(f) else f for f, e in zip(first, bases, strict=True)])
-    lengths = np.concatenate([np.minimum(SEGMENT, n - SEGMENT * np.arange(s)) for n, s, _, _ in heads]).astype(np.int64)
+    lengths = _lengths([n for n, _, _, _ in heads])
+    order = np.argsort(-lengths, kind="stable")
+    sizes, at, state = lengths[order], at[order], state[order]
     steps = SEGMENT // LANES
-    out = np.zeros((len(at), steps, LANES), np.uint32)
-    lane, low = np.arange(LANES), np.uint64((1 << SCALE) - 1)
+    out = np.zeros((steps, len(at), LANES), np.uint32)
+    slots = table.slots
     for step in range(steps):
-        live = step * LANES + lane < lengths[:, None]
-        if not live.any():
+        used = int((sizes > step * LANES).sum())
+        if not used:
             break
-        slot = state & low
-        s = table.symbol[slot]
-        out[:, step] = np.where(live, s, 0)
-        x = table.freq[s] * (state >> np.uint64(SCALE)) + slot - table.start[s]
-        need = live & (x < START)
-        order = np.cumsum(need, axis=1)
-        word = stream[np.minimum(at[:, None] + order - 1, len(stream) - 1)]
-        state = np.where(live, np.where(need, x << np.uint64(32) | word, x), state)
-        at = at + order[:, -1]
+        x = state[:used]
+        p = slots[x & LOW]
+        new = ((p & LOW) + np.uint64(1)) * (x >> BITS) + (p >> BITS & LOW)
+        need = new < START
+        whole = int((sizes >= (step + 1) * LANES).sum())
+        if whole < used:  # segments that end within this step
+            live = step * LANES + np.arange(LANES) < sizes[whole:used, None]
+            need[whole:] &= live
+            new[whole:] = np.where(live, new[whole:], x[whole:])
+        out[step, :used] = p >> np.uint64(2 * SCALE)
+        if need.any():
+            place = (need.view(np.uint64) * RUNNING).view(np.uint8).reshape(need.shape)
+            words = stream[at[:used, None] + place - 1]
+            new = np.where(need, new << WORD | words, new)
+            at[:used] += place[:, -1]
+        state[:used] = new
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    out, at, state = np.ascontiguousarray(out.transpose(1, 0, 2))[back], at[back], state[back]
     if (state != START).any() or (at != ends).any():
         raise ValueError("a block's stream doesn't end where its encoder began")
     found, k = [], 0

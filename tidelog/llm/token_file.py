@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ from tidelog.llm.bpe import Splitter
 from tidelog.llm.common import map_batches, new_path, only, remove
 
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
-BLOCK_IDS, GROUP_IDS = 65_536, 2_000_000
-CACHE_PIECES = 500_000
+BLOCK_IDS, GROUP_IDS = 65_536, 3_000_000
+GROUP_BLOCKS = 48
+CACHE_PIECES = 900_000
 #: Characters of text split at a time, and pieces that are handed to the library at once.
-GROUP_CHARS, JOINED = 500_000, 500
+GROUP_CHARS, JOINED = 120_000, 500
 
 
 class LibraryCodec:
@@ -71,15 +73,14 @@ class LibraryCodec:
     def _packed(self, lists: list[list[str]]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in lists]
-        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
-        if missing := {pieces[i] for pieces, gap in zip(lists, gaps, strict=True) for i in gap}:
-            self._learn(list(missing))
-        for pieces, ids, gap in zip(lists, found, gaps, strict=True):
-            for i in gap:
-                ids[i] = get(pieces[i])
-        return [b"".join(ids) for ids in found]
+        get, pieces = self.known.get, list(chain.from_iterable(lists))
+        found = list(map(get, pieces))
+        if gaps := [i for i, x in enumerate(found) if x is None]:
+            self._learn(list({pieces[i] for i in gaps}))
+            for i in gaps:
+                found[i] = get(pieces[i])
+        ends = list(accumulate(map(len, lists)))
+        return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (of type `kind`) of each text."""
@@ -276,8 +277,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         _codecs.clear()
         table = rans.FrequencyTable(freq.value)
         for b in batches:
-            for i in range(0, b.num_rows, 16):
-                c = [x.to_pylist() for x in b.slice(i, 16).columns]
+            for i in range(0, b.num_rows, GROUP_BLOCKS):
+                c = [x.to_pylist() for x in b.slice(i, GROUP_BLOCKS).columns]
                 ids, starts, docs = [], [], []
                 for start, names, sizes, found in zip(*c[:3], rans.decode_blocks(c[3], table), strict=True):
                     data, at = found.astype("<u4").tobytes(), 0
@@ -289,6 +290,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, b.column(1).type.value_type), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["id", "start", "ids"])
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return map_batches(blocks, run, f"id {kind}, start bigint, ids binary", rows=32)
+    return map_batches(blocks, run, f"id {kind}, start bigint, ids binary", rows=GROUP_BLOCKS)
 
 
