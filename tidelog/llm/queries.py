@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, decontaminate, langid, simhash, token_file, topk, toxicity, warc
+from tidelog.llm import bpe, chat, decontaminate, langid, licenses, simhash, token_file, topk, toxicity, warc
 from tidelog.llm.common import new_path, only, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -95,6 +95,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license template that a document contains."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
+    "op3_licenses": op3_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
