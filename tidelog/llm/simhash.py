@@ -125,12 +125,11 @@ def links(fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id that can be reached by links, the row's own included."""
-    kind = docs.schema[id_col].dataType
     fps = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", F.col("root").alias("r")).join(linked, F.col("r") == F.col("root"))
-    named = named.select(F.col("fp").alias("f"), F.col("component_id").cast(kind))
+    named = named.select(F.col("fp").alias("f"), "component_id")
     return fps.join(named, F.col("fp") == F.col("f")).select(id_col, "fp", "component_id")

@@ -137,14 +137,31 @@ def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
 COUNTS = -1
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apart(ranges: list[tuple[object, object, int]]) -> bool:
+    """Whether parts (least id, largest id, rows without an id) are ranges of ids that don't touch."""
+    if any(missing for _, _, missing in ranges):
+        return False
+    ranges = sorted(r[:2] for r in ranges)
+    return all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def _ranges(rows: DataFrame, part) -> list[tuple[object, object, int]]:
+    """What `apart` needs to know of each part; a row for each reaches the driver."""
+    missing = F.count_if(F.col("id").isNull())
+    return [tuple(r)[1:] for r in rows.groupBy(part.alias("part")).agg(F.min("id"), F.max("id"), missing).collect()]
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", ordered: bool = False) -> DataFrame:
     """(part, at, id, ids): packed ids of each text and the end id, in ranges of ascending id; `at` ids of its part come before.
 
+    ordered: the partitions of docs are such ranges already, so no shuffle is needed.
+
     Each part that isn't empty ends with a row of `at` = COUNTS: ids has how often each id occurs in the part, as 64-bit integers.
     """
     docs = only(docs, id_col, text_col).toDF("id", "text")
     tie = F.xxhash64("text")  # so that rows of one id can part, and the sample that sets the ranges stays small
-    ranged = docs.repartitionByRange(F.col("id"), tie).sortWithinPartitions("id", tie).withColumn("part", F.spark_partition_id())
+    ranged = docs if ordered else docs.repartitionByRange(F.col("id"), tie)
+    ranged = ranged.sortWithinPartitions("id", tie).withColumn("part", F.spark_partition_id())
 
     def run(batches):
         codec, at, part = _codec(path, pattern, end_id), 0, None
@@ -237,15 +254,24 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    work = new_path(spark, "tokens")
-    tokens = _write(tokenized(docs, path, pattern, end_id, id_col, text_col), work, "lz4_raw")
+    # Tables are often kept in order of their ids; then the partitions of a scan are used as they are. What
+    # came of it is looked at again in the ids that were written.
+    scanned = only(docs, id_col).toDF("id")
+    ordered = "Exchange" not in scanned._jdf.queryExecution().toString() and apart(_ranges(scanned, F.spark_partition_id()))
+    while True:
+        work = new_path(spark, "tokens")
+        tokens = _write(tokenized(docs, path, pattern, end_id, id_col, text_col, ordered), work, "lz4_raw")
+        if not ordered or apart(_ranges(tokens.where(F.col("at") >= 0), F.col("part"))):
+            break
+        remove(spark, work)
+        ordered = False
     size = LibraryCodec(path, pattern, end_id).size
     packing = id_type(size)
     table = rans.FrequencyTable.from_counts(count_ids(tokens, size))
     documents = tokens.where(F.col("at") >= 0)
-    ends = documents.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / packing.itemsize).cast("bigint").alias("n")).orderBy("part").collect()
+    ends = documents.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / packing.itemsize).cast("bigint").alias("n"), F.min("id").alias("least"))
     before, total = {}, 0  # a number for each partition
-    for r in ends:
+    for r in ends.orderBy("least" if ordered else "part").collect():
         before[r.part], total = total, total + r.n
     kind = tokens.schema["id"].dataType
     arrow_kind = to_arrow_type(kind)
