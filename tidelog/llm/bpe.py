@@ -23,10 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import extended, map_batches
+from tidelog.llm.common import extended, map_batches, worker_cache
 
 #: Distinct pieces that one Python worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Pieces of one text handled at a time, which bounds memory for very long texts.
 BLOCK_PIECES = 200_000
 NO_SPLIT = -1
@@ -267,18 +267,15 @@ def decode_ids(bytes_of: list[bytes], packed: bytes | None) -> bytes:
     return b"".join([bytes_of[i] for i in np.frombuffer(packed, "<u4").tolist()])
 
 
-_codecs: dict[object, TextCodec] = {}
-
-
 def _codec(shared, pattern: str) -> TextCodec:
     """One codec per worker process and rank table, kept between tasks."""
     tokens, left, right = shared.value
-    key = (id(tokens), pattern)  # the worker keeps one value for each broadcast
-    if key not in _codecs:
-        _codecs.clear()
+    codecs, key = worker_cache("bpe"), (id(tokens), pattern)  # the worker keeps one value for each broadcast
+    if key not in codecs:
+        codecs.clear()
         ranks = {t: i for i, t in enumerate(tokens) if t}
-        _codecs[key] = TextCodec(Merges(ranks, (left, right)), pattern)
-    return _codecs[key]
+        codecs[key] = TextCodec(Merges(ranks, (left, right)), pattern)
+    return codecs[key]
 
 
 class BpeModel:
@@ -303,7 +300,7 @@ def bpe_encode(df: DataFrame, model: BpeModel, text: str = "text", ids: str = "i
             n = pa.array([len(p) // 4 for p in packed], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), n], names=[*kept, ids, count])
 
-    return map_batches(df, run, extended(df.schema, (ids, "binary"), (count, "long")))
+    return map_batches(df, run, extended(df.schema, (ids, "binary"), (count, "long")), cache="bpe")
 
 
 def bpe_decode(df: DataFrame, model: BpeModel, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -318,4 +315,4 @@ def bpe_decode(df: DataFrame, model: BpeModel, ids: str = "ids", decoded: str =
             out = [decode_ids(bytes_of, p) for p in b.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*kept, decoded])
 
-    return map_batches(df, run, extended(df.schema, (decoded, "binary")))
+    return map_batches(df, run, extended(df.schema, (decoded, "binary")), cache="bpe")

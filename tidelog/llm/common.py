@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +24,35 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with bounded batches (pass fewer `rows` where each is large). fn finds columns by place: names may hold dots or differ in case only."""
+#: What Python workers keep between tasks, by the operator that keeps it.
+WORKER_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """An operator's memory in this worker process."""
+    return WORKER_CACHES.setdefault(owner, {})
+
+
+def _drop_others(owner: str | None) -> None:
+    """Free what other operators keep here, and hand the memory back."""
+    others = [c for name, c in WORKER_CACHES.items() if name != owner and c]
+    for cache in others:
+        cache.clear()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library: it keeps the memory for later
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS, cache: str | None = None) -> DataFrame:
+    """mapInArrow with bounded batches (pass fewer `rows` where each is large; `cache`: the operator whose worker_cache fn uses). fn finds columns by place: names may hold dots or differ in case only."""
     small_batches(df.sparkSession, rows)
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(fn, schema)
+
+    def task(batches):
+        _drop_others(cache)
+        yield from fn(batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(task, schema)
 
 
 def extended(schema: StructType, *added: tuple[str, str]) -> StructType:

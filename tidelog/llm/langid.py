@@ -30,7 +30,7 @@ from tidelog.llm.common import extended, map_batches, only
 UNKNOWN = "und"
 ORDER = 4
 #: Characters held at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: n-grams of the highest order in a model, over all languages: beyond it rarer ones are left out, by count.
 MOST_GRAMS, MOST_LANGUAGES = 2_000_000, 512
 #: Training texts that calibrate rejection.

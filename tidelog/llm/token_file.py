@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import rans
 from tidelog.llm.bpe import Splitter
-from tidelog.llm.common import map_batches, new_path, only, remove
+from tidelog.llm.common import map_batches, new_path, only, remove, worker_cache
 
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
 BLOCK_IDS, GROUP_IDS = 65_536, 3_000_000
@@ -106,15 +106,12 @@ def id_type(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-_codecs: dict[tuple[str, str, int], LibraryCodec] = {}
-
-
 def _codec(path: str, pattern: str, end_id: int) -> LibraryCodec:
-    key = (path, pattern, end_id)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = LibraryCodec(*key)
-    return _codecs[key]
+    codecs, key = worker_cache("token_file"), (path, pattern, end_id)
+    if key not in codecs:
+        codecs.clear()
+        codecs[key] = LibraryCodec(*key)
+    return codecs[key]
 
 
 def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
@@ -184,7 +181,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
             own = [part, pa.array([COUNTS], pa.int64()), pa.nulls(1, kind), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(own, names=["part", "at", "id", "ids"])
 
-    return map_batches(ranged, run, f"part int, at long, id {docs.schema[0].dataType.simpleString()}, ids binary")
+    return map_batches(ranged, run, f"part int, at long, id {docs.schema[0].dataType.simpleString()}, ids binary", cache="token_file")
 
 
 def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
@@ -278,8 +275,6 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
     freq = spark.sparkContext.broadcast(table.freq.astype(np.uint32))
 
     def run(batches):
-        _codecs.clear()  # a worker that has tokenized needs no pieces any more
-
         def rows():
             for b in batches:
                 for part, at, doc, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -300,7 +295,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     blocks = spark.read.parquet(f"{folder}/blocks")
 
     def run(batches):
-        _codecs.clear()
         table = rans.FrequencyTable(freq.value)
         for b in batches:
             for i in range(0, b.num_rows, GROUP_BLOCKS):
