@@ -287,9 +287,11 @@ class BpeModel:
         self.shared = spark.sparkContext.broadcast((merges.bytes_of, *merges.splits()))
 
 
-def bpe_encode(df: DataFrame, model: BpeModel, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
-    """df with the packed ids (binary) and their number (long) of each whole text; columns of those names are replaced."""
-    kept = [c for c in df.columns if c not in (ids, count)]
+def bpe_encode(df: DataFrame, model: BpeModel, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str | None = None) -> DataFrame:
+    """df with the packed ids (binary) and their number (long) of each whole text, and on demand the bytes that the ids
+    decode to; columns of those names are replaced."""
+    added = [ids, count, *([decoded] if decoded else [])]
+    kept = [c for c in df.columns if c not in added]
     df = df.select(*(f"`{c}`" for c in kept))
     shared, pattern = model.shared, model.pattern
 
@@ -297,10 +299,13 @@ def bpe_encode(df: DataFrame, model: BpeModel, text: str = "text", ids: str = "i
         codec = _codec(shared, pattern)
         for b in batches:
             packed = [codec.encode(t) for t in b.column(kept.index(text)).to_pylist()]
-            n = pa.array([len(p) // 4 for p in packed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), n], names=[*kept, ids, count])
+            out = [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+            if decoded:
+                out.append(pa.array([decode_ids(codec.merges.bytes_of, p) for p in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*kept, *added])
 
-    return map_batches(df, run, extended(df.schema, (ids, "binary"), (count, "long")), cache="bpe")
+    kinds = [(ids, "binary"), (count, "long"), *([(decoded, "binary")] if decoded else [])]
+    return map_batches(df, run, extended(df.schema, *kinds), cache="bpe")
 
 
 def bpe_decode(df: DataFrame, model: BpeModel, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -184,8 +184,11 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with n_words, spans (word numbers, merged) and items (ids of the items found), replacing columns of those names."""
+def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """docs with n_words, spans (word numbers, merged) and items (ids of the items found), replacing columns of those names.
+
+    cut: the spans are taken out of the text (n_words and spans are of the text as it was).
+    """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     kind = benchmark.schema[item_id].dataType
@@ -198,9 +201,9 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
         shared = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window))
-        first = block == 0
+        first, last = block == 0, cut and block == blocks - 1
 
-        def run(batches, shared=shared, first=first):
+        def run(batches, shared=shared, first=first, last=last):
             phrases = shared.value
             for b in batches:
                 counts, found = _findings(b.column(at).to_pylist(), phrases)
@@ -212,9 +215,13 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                 for d, (new, owners) in found.items():
                     spans[d] = _merged(spans[d] + new)
                     ids[d] = ids[d] + [phrases.ids[o] for o in sorted(owners)]
+                columns = list(b.columns[:place])
+                if last:
+                    texts = columns[at].to_pylist()
+                    columns[at] = pa.array([without_spans(t, s) if t and s else t for t, s in zip(texts, spans, strict=True)], columns[at].type)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *b.columns[:place],
+                        *columns,
                         pa.array(counts, pa.int64()),
                         pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                         pa.array(ids, pa.list_(arrow_kind)),
@@ -228,20 +235,3 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         schema = extended(docs.select(*(F.col(f"`{c}`") for c in own)).schema, ("n_words", "bigint"), ("spans", SPANS), ("items", f"array<{kind.simpleString()}>"))
         state = map_batches(state, run, schema)
     return state
-
-
-def remove_spans(found: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Take the spans out of the text column; rows without spans keep theirs as it is."""
-    names = found.columns
-    at, where = names.index(text), names.index(spans)
-
-    def run(batches):
-        for b in batches:
-            texts = [
-                without_spans(t, [(x["start"], x["stop"]) for x in s]) if t and s else t
-                for t, s in zip(b.column(at).to_pylist(), b.column(where).to_pylist(), strict=True)
-            ]
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return map_batches(found, run, found.schema)

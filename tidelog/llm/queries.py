@@ -18,8 +18,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids by prefix dynamic programming, and their decoding."""
     model = bpe.BpeModel(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    encoded = bpe.bpe_encode(docs, model).drop("text")
-    return bpe.bpe_decode(encoded, model).select(
+    return bpe.bpe_encode(docs, model, decoded="decoded").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
