@@ -50,16 +50,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts; n_chars follows where a text was cut."""
-    found = decontaminate.find_phrases(_documents(docs), table(spark, sf_dir, "benchmark"))
-    cut = decontaminate.remove_spans(found)
+    cut = decontaminate.find_phrases(_documents(docs), table(spark, sf_dir, "benchmark"), cut=True)
     return cut.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with their digests; `same` says whether they decode to the text."""
     model = bpe.BpeModel(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    decoded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text"), model), model)
-    return decoded.select(
+    return bpe.bpe_encode(docs.select("doc_id", "text"), model, decoded="decoded").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
