@@ -93,7 +93,7 @@ def encode_blocks(blocks: list[np.ndarray], table: FrequencyTable) -> list[bytes
     flat = np.zeros((rows, SEGMENT), np.uint32)
     at = 0
     for b in blocks:
-        if len(b) and not table.freq[b].all():
+        if len(b) and (int(b.max()) >= len(table.freq) or not table.freq[b].all()):
             raise ValueError("an id has no frequency in the table")
         n = -(-len(b) // SEGMENT)
         flat[at : at + n].reshape(-1)[: len(b)] = b
