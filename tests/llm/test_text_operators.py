@@ -243,6 +243,11 @@ def test_token_file_of_ordered_parts(spark, tmp_path):
     found = sorted(token_file.read_tokens(spark, folder).collect(), key=lambda r: r.id)
     assert [r.id for r in found] == list(range(30))
     assert [r.start for r in found] == np.cumsum([0] + [len(r.ids) // 4 for r in found])[:-1].tolist()
+    # parts that are apart, but not in order within
+    spark.createDataFrame([(90 - i, f"later {i}") for i in range(10)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    folder = token_file.write_tokens(spark.read.parquet(str(tmp_path / "docs")), new_path(spark, "test"), JSON, public_tokenizers.PATTERN)
+    found = sorted(token_file.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.id for r in found] == [*range(30), *range(81, 91)]
 
 
 # 6: decontamination

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 
 SCALE = 20
-LANES, SEGMENT = 8, 8192
+LANES, SEGMENT = 8, 4096
 START = np.uint64(1 << 31)
 LOW, BITS, WORD = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
 #: A product with it adds up the bytes of a number from the lowest on: running sums over eight lanes.

@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from itertools import accumulate, chain
+from operator import lt
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from tidelog.llm.common import map_batches, new_path, only, remove, worker_cache
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
 BLOCK_IDS, GROUP_IDS = 65_536, 3_000_000
 GROUP_BLOCKS = 48
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_200_000
 #: Characters of text split at a time, and pieces that are handed to the library at once.
-GROUP_CHARS, JOINED = 120_000, 500
+GROUP_CHARS, JOINED = 120_000, 2000
 
 
 class LibraryCodec:
@@ -130,8 +131,9 @@ def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: In the table of packed ids, `at` of the row that holds a part's counts instead of a document.
-COUNTS = -1
+#: In the table of packed ids, `at` of the row that holds a part's counts instead of a document, and of one
+#: that says that a part's ids weren't in order after all.
+COUNTS, UNORDERED = -1, -2
 
 
 def apart(ranges: list[tuple[object, object, int]]) -> bool:
@@ -151,20 +153,26 @@ def _ranges(rows: DataFrame, part) -> list[tuple[object, object, int]]:
 def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", ordered: bool = False) -> DataFrame:
     """(part, at, id, ids): packed ids of each text and the end id, in ranges of ascending id; `at` ids of its part come before.
 
-    ordered: the partitions of docs are such ranges already, so no shuffle is needed.
+    ordered: the partitions of docs are such ranges already and in order, so neither shuffle nor sort is needed; a part
+    for which that isn't so gets a row of `at` = UNORDERED.
 
     Each part that isn't empty ends with a row of `at` = COUNTS: ids has how often each id occurs in the part, as 64-bit integers.
     """
     docs = only(docs, id_col, text_col).toDF("id", "text")
     tie = F.xxhash64("text")  # so that rows of one id can part, and the sample that sets the ranges stays small
-    ranged = docs if ordered else docs.repartitionByRange(F.col("id"), tie)
-    ranged = ranged.sortWithinPartitions("id", tie).withColumn("part", F.spark_partition_id())
+    ranged = docs if ordered else docs.repartitionByRange(F.col("id"), tie).sortWithinPartitions("id", tie)
+    ranged = ranged.withColumn("part", F.spark_partition_id())
 
     def run(batches):
         codec, at, part = _codec(path, pattern, end_id), 0, None
         end, width = np.array([end_id], codec.kind).tobytes(), codec.kind.itemsize
         counts = np.zeros(codec.size, np.int64)
+        last, fine = None, True
         for b in batches:
+            if ordered and b.num_rows:
+                found = b.column(0).to_pylist()
+                fine = fine and (last is None or last < found[0]) and all(map(lt, found, found[1:]))
+                last = found[-1]
             packed = [p + end for p in codec.encode(b.column(1).to_pylist())]
             sizes = np.fromiter((len(p) // width for p in packed), np.int64, len(packed))
             before = at + np.cumsum(sizes) - sizes
@@ -178,8 +186,9 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
             kind = b.column(0).type
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(before), b.column(0), column], names=["part", "at", "id", "ids"])
         if part is not None:
-            own = [part, pa.array([COUNTS], pa.int64()), pa.nulls(1, kind), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(own, names=["part", "at", "id", "ids"])
+            for at, data in ((COUNTS, counts.astype("<i8").tobytes()), *([] if fine else [(UNORDERED, b"")])):
+                own = [part, pa.array([at], pa.int64()), pa.nulls(1, kind), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, names=["part", "at", "id", "ids"])
 
     return map_batches(ranged, run, f"part int, at long, id {docs.schema[0].dataType.simpleString()}, ids binary", cache="token_file")
 
@@ -258,7 +267,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
     while True:
         work = new_path(spark, "tokens")
         tokens = _write(tokenized(docs, path, pattern, end_id, id_col, text_col, ordered), work, "lz4_raw")
-        if not ordered or apart(_ranges(tokens.where(F.col("at") >= 0), F.col("part"))):
+        if not ordered or (apart(_ranges(tokens.where(F.col("at") >= 0), F.col("part"))) and not tokens.where(F.col("at") == UNORDERED).count()):
             break
         remove(spark, work)
         ordered = False
