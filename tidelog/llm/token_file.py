@@ -163,6 +163,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
     ranged = docs if ordered else docs.repartitionByRange(F.col("id"), tie).sortWithinPartitions("id", tie)
     ranged = ranged.withColumn("part", F.spark_partition_id())
 
+    names = ["part", "at", "id", "n", "ids", "counts"]
+
     def run(batches):
         codec, at, part = _codec(path, pattern, end_id), 0, None
         end, width = np.array([end_id], codec.kind).tobytes(), codec.kind.itemsize
@@ -184,13 +186,13 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
                 counts += np.bincount(ids[i : i + (1 << 20)], minlength=codec.size)
             part = b.column(2)[:1] if b.num_rows else part
             kind = b.column(0).type
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(before), b.column(0), column], names=["part", "at", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(before), b.column(0), pa.array(sizes), column, pa.nulls(b.num_rows, pa.binary())], names=names)
         if part is not None:
             for at, data in ((COUNTS, counts.astype("<i8").tobytes()), *([] if fine else [(UNORDERED, b"")])):
-                own = [part, pa.array([at], pa.int64()), pa.nulls(1, kind), pa.array([data], pa.binary())]
-                yield pa.RecordBatch.from_arrays(own, names=["part", "at", "id", "ids"])
+                own = [part, pa.array([at], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, names=names)
 
-    return map_batches(ranged, run, f"part int, at long, id {docs.schema[0].dataType.simpleString()}, ids binary", cache="token_file")
+    return map_batches(ranged, run, f"part int, at long, id {docs.schema[0].dataType.simpleString()}, n long, ids binary, counts binary", cache="token_file")
 
 
 def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
@@ -204,7 +206,7 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["token", "n"])
 
-    own = tokens.where(F.col("at") == COUNTS).select("ids")
+    own = tokens.where(F.col("at") == COUNTS).select("counts")
     rows = map_batches(own, run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[rows.column("token").to_numpy()] = rows.column("n").to_numpy()
@@ -275,7 +277,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
     packing = id_type(size)
     table = rans.FrequencyTable.from_counts(count_ids(tokens, size))
     documents = tokens.where(F.col("at") >= 0)
-    ends = documents.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / packing.itemsize).cast("bigint").alias("n"), F.min("id").alias("least"))
+    ends = documents.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n"), F.min("id").alias("least"))
     before, total = {}, 0  # a number for each partition
     for r in ends.orderBy("least" if ordered else "part").collect():
         before[r.part], total = total, total + r.n
@@ -291,7 +293,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str, end_id: int
 
         yield from _blocks(rows(), freq.value, arrow_kind, packing)
 
-    blocks = map_batches(documents, run, BLOCKS.format(kind=kind.simpleString()))
+    blocks = map_batches(documents.select("part", "at", "id", "ids"), run, BLOCKS.format(kind=kind.simpleString()))
     blocks.write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     spark.createDataFrame([(bytes(table.freq.astype("<u4").tobytes()),)], "frequencies binary").coalesce(1).write.parquet(f"{out}/frequencies")
     remove(spark, work)
