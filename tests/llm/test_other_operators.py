@@ -52,6 +52,20 @@ def test_topk(spark, monkeypatch, count, k):
     assert sorted(tuple(r) for r in found.collect()) == brute_topk(rows, set(range(0, count, 10)), k)
 
 
+def test_topk_of_large_vectors(spark):
+    rows = [(i, [float(2 ** (9 + i % 7)) * (1 + i), float(i), 3.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = topk.Index(df, 5)
+    assert index.top >= 2**53
+    found = topk.search(index, index.rows.where(F.col("id") % 10 == 0))
+    whole = [[math.floor(1024 * x) for x in v] for _, v in rows]
+    want = []
+    for q in range(0, 40, 10):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 # 8: chat
 
 

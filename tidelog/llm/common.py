@@ -88,11 +88,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, by exact name; a missing one is an error before any job runs."""
-    missing = [n for n in names if n not in df.columns]
+    """The named columns alone, by exact name, whatever others there are (also ones that differ in case only)."""
+    columns = df.columns
+    missing = [n for n in names if n not in columns]
     if missing:
-        raise ValueError(f"missing columns {missing}; there are {df.columns}")
-    return df.select(*(F.col(f"`{n}`") for n in names))
+        raise ValueError(f"missing columns {missing}; there are {columns}")
+    numbered = df.toDF(*(f"c{i}" for i in range(len(columns))))
+    return numbered.select(*(F.col(f"c{columns.index(n)}").alias(n) for n in names))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,8 +15,8 @@ query in the block is opened. Nothing else can hold an answer, so the result is
 
 Equal vectors are one entry with its k + 1 smallest ids (no more can be among a query's k best, its own
 aside), and equal queries are asked once. Ties go to the smaller id. Vectors that are null, empty, of another length
-than the most frequent one, or with null or non-finite components take no part. Scores are exact while
-the largest norm squared is below 2^53; larger vectors raise an error. Fewer than k candidates: all
+than the most frequent one, or with null or non-finite components take no part. Scores are exact: in doubles while
+the largest norm squared is below 2^53, else in 64-bit integers; from 2^63 on they would not fit their column, an error. Fewer than k candidates: all
 are returned. A query row whose id is null takes no part; repeated ids are candidates as often as they come.
 """
 
@@ -89,8 +89,8 @@ class Index:
             return
         norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
         total = self.rows.agg(F.max(norm).alias("top"), F.count("*").alias("n")).first()
-        if total.top >= 2.0**53:
-            raise ValueError("vectors too large for exact scores")
+        if total.top >= 2.0**63:
+            raise ValueError("vectors too large for scores of 64 bits")
         sample = self.rows.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(SAMPLE).toArrow()
         pivots = _pivots(_matrix(sample.column("v").combine_chunks()), PIVOTS)
         self.top, lift = float(total.top), _lifted(pivots, float(total.top))
@@ -161,18 +161,20 @@ class Index:
 
 def _scan(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k + 1 best (score, id) of a block for each query, best first; ids beyond a block's entries are -1."""
-    score = q @ x.T  # whole numbers below 2**53: exact
+    large = max((q * q).sum(axis=1).max(initial=0.0), (x * x).sum(axis=1).max(initial=0.0)) >= 2.0**53
+    score = q.astype(np.int64) @ x.T.astype(np.int64) if large else (q @ x.T).astype(np.int64)  # exact either way
     width = max(map(len, ids))
     table = np.full((len(ids), width), np.iinfo(np.int64).max)
-    for i, own in enumerate(ids):
-        table[i, : len(own)] = own
+    for entry, own in enumerate(ids):
+        table[entry, : len(own)] = own
     best = min(k + 1, score.shape[1])
     if best < score.shape[1]:
         # all that reach the best-th score, so that ties are settled by id
-        edge = -np.partition(-score, best - 1, axis=1)[:, best - 1 : best]
-        score = np.where(score >= edge, score, -np.inf)
-    outs, outi = np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), -1, np.int64)
-    row, col = np.nonzero(score > -np.inf)
+        edge = np.partition(score, score.shape[1] - best, axis=1)[:, -best : score.shape[1] - best + 1]
+        row, col = np.nonzero(score >= edge)
+    else:
+        row, col = np.nonzero(np.ones(score.shape, bool))
+    outs, outi = np.zeros((len(q), k + 1), np.int64), np.full((len(q), k + 1), -1, np.int64)
     s = np.repeat(score[row, col], width)
     i, r = table[col].reshape(-1), np.repeat(row, width)
     real = i != np.iinfo(np.int64).max
@@ -226,7 +228,7 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
                 s, i = _scan(np.frombuffer(q).reshape(len(qids), -1), x, ids, k)
                 n, w = s.shape
                 keep = i.reshape(-1) >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids), w)[keep]), pa.array(s.reshape(-1)[keep].astype(np.int64)), pa.array(i.reshape(-1)[keep])], names=["qid", "score", "vec_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids), w)[keep]), pa.array(s.reshape(-1)[keep]), pa.array(i.reshape(-1)[keep])], names=["qid", "score", "vec_id"])
 
     best = "qid bigint, score bigint, vec_id bigint"
     around = (F.col("dmin") <= F.col("high")) & (F.col("dmax") >= F.col("low"))
@@ -252,7 +254,7 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
                 q, qids = _matrix(part.column(0)), part.column(1).to_numpy()
                 worst = np.array([-np.inf if w is None else w for w in part.column(3).to_pylist()])
                 square = (q * q).sum(axis=1) + top
-                radius = np.sqrt(np.maximum(square - 2.0 * worst, 0.0)) * (1 + SLACK) + SLACK
+                radius = np.sqrt(np.maximum(square - 2.0 * worst, 0.0)) * (1 + SLACK) + SLACK * (1 + np.sqrt(top))
                 d = _distances(q, np.zeros(len(q)), pivots, lift)
                 out: list[list] = [[], [], [], [], []]
                 for p, (least, most) in extent.items():
@@ -278,7 +280,7 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
                 s, i = _scan(q, np.frombuffer(vectors).reshape(len(ids), -1), ids, k)
                 keep = i.reshape(-1) >= 0
                 who = np.repeat(np.array(qids)[use], s.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(s.reshape(-1)[keep].astype(np.int64)), pa.array(i.reshape(-1)[keep])], names=["qid", "score", "vec_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(s.reshape(-1)[keep]), pa.array(i.reshape(-1)[keep])], names=["qid", "score", "vec_id"])
 
     found = map_batches(pairs.select("qids", "q", "lows", "highs", "low", "high", "vectors", "ids"), scan, best, rows=LARGE_ROWS)
     found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
