@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontaminate, langid, simhash, toxicity
-from tidelog.llm.common import table, written
+from tidelog.llm.common import only, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Not expressible in SQL; tests/llm compares the stages with brute force.
@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 def _documents(df: DataFrame) -> DataFrame:
-    return df.select(*COLUMNS)
+    return only(df, *COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
