@@ -60,13 +60,19 @@ def extended(schema: StructType, *added: tuple[str, str]) -> StructType:
     return StructType([*schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in added)])
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, one of our own, in local mode only."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    return _own_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
