@@ -75,8 +75,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder. DataFrames that came of it can't be read any more."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
