@@ -6,7 +6,7 @@ the query 0 there: |q - x|^2 = |q|^2 + M^2 - 2 q.x. In that space the triangle i
 
 Index: the distinct vectors, each with its nearest pivot and its distance to it. Pivots are distinct
 vectors of a bounded sample. The vectors of a pivot are kept in blocks of up to BLOCK, sorted by
-distance, so a block is an annulus; a pivot with many vectors has them dealt over several tasks first.
+distance, so a block is an annulus; they are dealt over tasks by ranges of pivot and distance.
 
 Search, for blocks of queries that share a nearest pivot: first the annuli of the query's own pivot are
 opened, nearest distance first, until the triangle inequality says that no further one can do better; that gives
@@ -121,13 +121,8 @@ class Index:
         few = self.rows.withColumn("n", place).where(F.col("n") <= self.k + 1)
         few = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
         placed = written(self._placed(few), "placed")
-        counts = placed.groupBy("pivot").count()
-        dealt = placed.join(F.broadcast(counts), "pivot")  # at most PIVOTS rows
-        # a pivot with many vectors is cut into ranges of its distance, by the place among a sample's quantiles
-        cuts = placed.groupBy("pivot").agg(F.percentile_approx("distance", [i / 32 for i in range(1, 32)], 1000).alias("cuts"))
-        ring = F.when(F.col("count") > BLOCK, F.size(F.filter("cuts", lambda c: c < F.col("distance")))).otherwise(0)
-        dealt = dealt.join(F.broadcast(cuts), "pivot").select("pivot", "distance", "v", "ids", ring.alias("ring"))
-        ordered = dealt.repartition("pivot", "ring").sortWithinPartitions("pivot", "ring", "distance")
+        # ranges of pivot and distance: as many tasks share a pivot with many vectors as its rows ask for
+        ordered = placed.select("pivot", "distance", "v", "ids").repartitionByRange("pivot", "distance", F.xxhash64("v")).sortWithinPartitions("pivot", "distance")
         names = ["pivot", "low", "high", "vectors", "ids"]
 
         def run(batches):
@@ -148,11 +143,11 @@ class Index:
                 )
 
             for b in batches:
-                for p, d, v, ids, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if held and (len(held) >= BLOCK or held[-1][0] != p or held[-1][4] != r):
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and (len(held) >= BLOCK or held[-1][0] != row[0]):
                         yield block()
                         held = []
-                    held.append((p, d, v, ids, r))
+                    held.append(row)
             if held:
                 yield block()
 
