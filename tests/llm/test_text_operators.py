@@ -401,6 +401,25 @@ def test_language_of_held_out_rows(spark, monkeypatch):
     assert model.predict(texts)[0] == [want[i] for i in range(6)]
 
 
+def test_language_model_keeps_all_grams(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [("xy"[i % 2], "".join(rng.choice(list("abcdefghijklmnop qrstuvwxyzéß"), 400))) for i in range(60)]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    grams = [np.unique(np.concatenate([langid._grams([t])[0] for x, t in texts if x == lang]), return_counts=True) for lang in "xy"]
+    assert sum(len(k) for k, _ in grams) > 20_000 and all((n == 1).mean() > 0.9 for _, n in grams)
+    want = langid.Model(["x", "y"], grams)
+    monkeypatch.setattr(langid, "MOST_GRAMS", 5_000, raising=False)  # the bound that once was
+    asked = [t for _, t in texts[:5]] + ["unseen word of ñ", "", None]
+    whole = want.entropies(asked)[0]
+    for values in (4_000_000, 20_000):
+        monkeypatch.setattr(langid, "SHARD_VALUES", values, raising=False)
+        model = langid.fit(df)
+        assert np.allclose(model.entropies(asked)[0], whole, atol=1e-5)
+        assert (len(model.shards) > langid.KEPT_SHARDS) == (values == 20_000)
+        found = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "id long, text string"), model).collect()
+        assert [r.lang_pred for r in sorted(found, key=lambda r: r.id)] == want.predict(asked)[0]
+
+
 def test_digests_are_of_little_endian_ids(merges):
     packed = bpe.TextCodec(merges, public_tokenizers.PATTERN).encode("hello world")
     assert packed == struct.pack("<2I", *merges.encode(b"hello"), *merges.encode(b" world"))

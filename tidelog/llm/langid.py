@@ -1,11 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
 Counts of character 4-grams are gathered over all training texts (each task sends what it has summed up,
-so this grows with the corpus until all 4-grams are known). From them each language gets an interpolated
-Kneser-Ney model of orders 4 to 1. For every n-gram that any language has, its log probability under
+so this grows with the corpus until all 4-grams are known). From all of them each language gets an interpolated
+Kneser-Ney model of orders 4 to 1; discounts, continuation counts and probabilities are worked out by Spark.
+For every n-gram that any language has, its log probability under
 every language is worked out once; the table of an order is an array sorted by hash, searched through
 a directory of the hashes' leading bits. An unseen n-gram costs its context's back-off weight and is
-looked up one order down.
+looked up one order down. The tables are dealt by hash into shards of bounded size, each broadcast on its own;
+where there are more than KEPT_SHARDS, a worker holds one at a time and searches it for HELD characters of texts at once.
 
 The answer is the language of the lowest cross-entropy per symbol. Rejection is calibrated on a bounded
 sample of training texts: `rejected` is set for texts whose best cross-entropy lies further above that
@@ -22,17 +24,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import extended, map_batches, only
+from tidelog.llm.common import extended, map_batches, new_path, only, written
 
 UNKNOWN = "und"
 ORDER = 4
 #: Characters held at a time.
 PIECE = 1 << 18
-#: n-grams of the highest order in a model, over all languages: beyond it rarer ones are left out, by count.
-MOST_GRAMS, MOST_LANGUAGES = 2_000_000, 512
+MOST_LANGUAGES = 512
+#: Numbers in a shard of the model (n-grams and contexts times languages), and shards that a worker keeps open.
+SHARD_VALUES, KEPT_SHARDS = 4_000_000, 4
+#: Characters of texts that are looked up at once in a model of more shards, for up to four languages (fewer for more).
+HELD = 16 << 20
 #: Training texts that calibrate rejection.
 CALIBRATION_TEXTS = 2000
 REJECT_SD, REJECT_NATS, REJECT_SYMBOLS = 12.0, 1.5, 20
@@ -152,32 +158,48 @@ class HashArray:
         return out
 
 
+class Shard:
+    """By order n..1, of some n-grams the log probabilities and of some contexts the logs of back-off weights, by language."""
+
+    def __init__(self, probs: list[tuple[np.ndarray, np.ndarray]], weights: list[tuple[np.ndarray, np.ndarray]]):
+        self.tables = [self._packed(*t) for t in probs]
+        self.backoffs = [self._packed(*t) for t in weights]
+
+    @staticmethod
+    def _packed(keys: np.ndarray, values: np.ndarray) -> tuple[HashArray, np.ndarray]:
+        table = HashArray(keys)
+        return table, np.log(values)[table.order].astype(np.float32)
+
+
+def _low(order: int) -> int:
+    """The mask of an n-gram's last `order` symbols."""
+    return (1 << 16 * order) - 1
+
+
 class Model:
-    """languages; per order n..1 a hash array with a row of log probabilities, per context one of back-off weights."""
+    """languages, what a symbol costs that none has, and the shards: Shard objects, or broadcasts of them."""
 
     def __init__(self, languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.languages = languages
-        self.tables: list[tuple[HashArray, np.ndarray]] = []
-        self.backoffs: list[tuple[HashArray, np.ndarray]] = []
+        """A model of one shard, of (4-grams, counts) by language that fit into memory; fit() makes those of tables."""
         count = len(languages)
         # counts by order: of occurrences at the top, below it of the distinct symbols in front
         levels = [grams]
         for order in range(ORDER, 1, -1):
-            mask = np.uint64((1 << 16 * (order - 1)) - 1)
+            mask = np.uint64(_low(order - 1))
             levels.append([np.unique(k & mask, return_counts=True) for k, _ in levels[-1]])
         levels.reverse()
-        self.floor = np.log(1.0 / max(2, sum(len(k) for k, _ in levels[0])))
+        self._begin(languages, sum(len(k) for k, _ in levels[0]), [])
+        probs, weights = [], []
         for order in range(1, ORDER + 1):
             counted = levels[order - 1]
             union = np.unique(np.concatenate([k for k, _ in counted])) if count else np.zeros(0, np.uint64)
             contexts = np.unique(union >> np.uint64(16))
             prob = np.zeros((len(union), count))
             weight = np.ones((len(contexts), count))
-            below = np.exp(self._score(union & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)) if len(union) else prob
+            below = probs[-1][1][np.searchsorted(probs[-1][0], union & np.uint64(_low(order - 1)))] if probs else np.full((len(union), count), np.exp(self.floor))
             where = np.searchsorted(contexts, union >> np.uint64(16))
             for i, (keys, n) in enumerate(counted):
-                once, twice = int((n == 1).sum()), int((n == 2).sum())
-                discount = min(0.95, max(0.1, once / max(1.0, once + 2.0 * twice)))
+                discount = _discount(int((n == 1).sum()), int((n == 2).sum()))
                 at = np.searchsorted(union, keys)
                 own = np.bincount(where[at], weights=n, minlength=len(contexts))
                 kinds = np.bincount(where[at], minlength=len(contexts))
@@ -185,36 +207,82 @@ class Model:
                 weight[seen, i] = discount * kinds[seen] / own[seen]
                 prob[at, i] = (n - discount) / own[where[at]]
                 prob[:, i] += weight[where, i] * below[:, i]
-            table, back = HashArray(union), HashArray(contexts)
-            self.tables.append((table, np.log(prob)[table.order].astype(np.float32)))
-            self.backoffs.append((back, np.log(weight)[back.order].astype(np.float32)))
+            probs.append((union, prob))
+            weights.append((contexts, weight))
+        self.shards = [Shard(probs, weights)]
+
+    @classmethod
+    def of_shards(cls, languages: list[str], symbols: int, shards: list) -> Model:
+        model = cls.__new__(cls)
+        model._begin(languages, symbols, shards)
+        return model
+
+    def _begin(self, languages: list[str], symbols: int, shards: list) -> None:
+        self.languages, self.shards = languages, shards
+        self.floor = np.log(1.0 / max(2, symbols))
         #: language -> (mean, standard deviation) of its own texts' cross-entropy
         self.usual: dict[str, tuple[float, float]] = {}
 
+    def _opened(self):
+        """The shards, one after the other."""
+        for s in self.shards:
+            yield s.value if isinstance(s, Broadcast) else s
+            if isinstance(s, Broadcast) and len(self.shards) > KEPT_SHARDS:
+                s.__dict__.pop("_value", None)  # it is read again where it is asked for
+
+    def held(self) -> int:
+        """Characters of texts that should be looked up at once; 0: any number."""
+        return HELD * 4 // max(4, len(self.languages)) if len(self.shards) > KEPT_SHARDS else 0
+
     def _score(self, packed: np.ndarray, order: int) -> np.ndarray:
         """Log probability of each gram's last symbol under each language."""
-        if order == 0:
-            return np.full((len(packed), len(self.languages)), self.floor, np.float32)
-        table, values = self.tables[order - 1]
-        at = table.find(packed)
-        out = values[at]  # -1 is put right below
-        lost = np.flatnonzero(at < 0)
-        if len(lost):
-            gram = packed[lost]
-            back, weights = self.backoffs[order - 1]
-            context = back.find(gram >> np.uint64(16))
-            weight = np.where(context[:, None] < 0, np.float32(0), weights[context] if len(weights) else np.float32(0))
-            out[lost] = weight + self._score(gram & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-        return out
+        keys, back = np.unique(packed, return_inverse=True)
+        return self._scores(keys, order)[back]
+
+    def _scores(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """The same of distinct grams in order. Each shard is opened once."""
+        count = len(self.languages)
+        needed = [keys]
+        for o in range(order - 1, -1, -1):
+            needed.append(np.unique(needed[-1] & np.uint64(_low(o))))
+        needed.reverse()
+        contexts = [np.unique(k >> np.uint64(16)) for k in needed[1:]]
+        scores = [np.full((len(k), count), self.floor, np.float32) for k in needed]
+        weights = [np.zeros((len(k), count), np.float32) for k in contexts]
+        found = [np.zeros(len(k), bool) for k in needed]
+        for shard in self._opened():
+            for o in range(1, order + 1):
+                (table, values), (backs, logs) = shard.tables[o - 1], shard.backoffs[o - 1]
+                at = table.find(needed[o])
+                hit = at >= 0
+                scores[o][hit] = values[at[hit]]
+                found[o] |= hit
+                at = backs.find(contexts[o - 1])
+                hit = at >= 0
+                weights[o - 1][hit] = logs[at[hit]]
+        for o in range(1, order + 1):
+            lost = ~found[o]
+            gram = needed[o][lost]
+            context = np.searchsorted(contexts[o - 1], gram >> np.uint64(16))
+            shorter = np.searchsorted(needed[o - 1], gram & np.uint64(_low(o - 1)))
+            scores[o][lost] = weights[o - 1][context] + scores[o - 1][shorter]
+        return scores[order]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy in nats per symbol by language, symbols, whether there is a letter) of each text."""
         total = np.zeros((len(texts), len(self.languages)))
         size, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        keys = None
+        if self.held():
+            keys = np.zeros(0, np.uint64)
+            for group in _groups(texts):
+                keys = np.union1d(keys, _grams([p for _, p in group])[0])
+            scores = self._scores(keys, ORDER)
         for group in _groups(texts):
             packed, piece, lettered = _grams([p for _, p in group])
             starts = np.searchsorted(piece, np.arange(len(group)))
-            sums = np.add.reduceat(self._score(packed, ORDER), starts, axis=0, dtype=np.float64)
+            each = self._score(packed, ORDER) if keys is None else scores[np.searchsorted(keys, packed)]
+            sums = np.add.reduceat(each, starts, axis=0, dtype=np.float64)
             counts = np.diff(np.append(starts, len(packed)))
             number = np.array([i for i, _ in group])
             np.add.at(total, number, sums)
@@ -237,32 +305,109 @@ class Model:
         return langs, score, np.where(letters, least, np.nan), rejected
 
 
+def _discount(once, twice) -> float:
+    return min(0.95, max(0.1, once / max(1.0, once + 2.0 * twice)))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, count = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(count)), pa.array(values.ravel(), pa.float64()))
+
+
+def _dense(column, count: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
+
+
+def _entries(column) -> tuple[np.ndarray, ...]:
+    """(row, each field) of a column of lists of structs."""
+    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    return row, *(f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten())
+
+
+def _order_tables(counts: DataFrame, order: int, below: DataFrame | None, discounts: np.ndarray, floor: float) -> tuple[DataFrame, DataFrame]:
+    """(key, values): probabilities of an order's n-grams and back-off weights of its contexts, by language.
+
+    counts: (i, gram, n), the language by number; below: the probabilities one order down.
+    """
+    count = len(discounts)
+    context = F.shiftrightunsigned("gram", 16)
+    seen = counts.groupBy(context.alias("context"), "i").agg(F.sum("n").alias("own"), F.count("*").alias("kinds"))
+    seen = written(seen.groupBy("context").agg(F.collect_list(F.struct("i", "own", "kinds")).alias("seen")), "contexts")
+    grams = counts.groupBy("gram").agg(F.collect_list(F.struct("i", "n")).alias("counts")).withColumn("c", context)
+    joined = grams.join(seen, F.col("c") == F.col("context")).select("gram", "counts", "seen")
+    if below is not None:
+        shorter = below.select(F.col("key").alias("shorter"), F.col("values").alias("below"))
+        joined = joined.join(shorter, F.col("gram").bitwiseAND(F.lit(_low(order - 1))) == F.col("shorter")).drop("shorter")
+
+    def weigh(column) -> tuple[np.ndarray, np.ndarray]:
+        row, i, own, kinds = _entries(column)
+        total, weight = np.ones((len(column), count)), np.ones((len(column), count))
+        total[row, i] = own
+        weight[row, i] = discounts[i] * kinds / own
+        return total, weight
+
+    def probs(batches):
+        for b in batches:
+            total, prob = weigh(b.column(2))
+            prob *= _dense(b.column(3), count) if b.num_columns > 3 else np.exp(floor)
+            row, i, n = _entries(b.column(1))
+            prob[row, i] += (n - discounts[i]) / total[row, i]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(prob)], names=["key", "values"])
+
+    def weights(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(weigh(b.column(1))[1])], names=["key", "values"])
+
+    kind = "key long, values array<double>"
+    return written(map_batches(joined, probs, kind), "probabilities"), map_batches(seen.select("context", "seen"), weights, kind)
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """A model of all texts with a language. Only n-gram counts reach the driver, at most MOST_GRAMS of them."""
-    grams = count_grams(docs, lang, text)
-    grams = grams.persist()  # small beside the corpus; a lost block is counted again
-    try:
-        sizes = grams.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        least, total = 1, 0
-        for r in sizes:
-            total += r["count"]
-            if total > MOST_GRAMS:
-                least = r.n + 1
-                break
-        found = grams.where(F.col("n") >= least).toArrow()
-    finally:
-        grams.unpersist()
-    names = np.array(found.column("lang").to_pylist(), object)
-    keys, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    languages = sorted(set(names.tolist()))
+    """A model of all 4-grams of all texts with a language. The driver sees a shard of it at a time."""
+    spark = docs.sparkSession
+    grams = written(count_grams(docs, lang, text), "grams")
+    languages = sorted(r.lang for r in grams.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} fit into a model")
-    each = []
-    for name in languages:
-        own = names == name
-        order = np.argsort(keys[own], kind="stable")
-        each.append((keys[own][order], n[own][order]))
-    return Model(languages, each)
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; at most those fit into a model")
+    if not languages:
+        return Model([], [])
+    count = len(languages)
+    number = (F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("lang")) - 1).cast("int")
+    levels = [grams.select(number.alias("i"), "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        # below the top, of the distinct symbols in front
+        shorter = F.col("gram").bitwiseAND(F.lit(_low(order)))
+        levels.append(written(levels[-1].groupBy("i", shorter.alias("gram")).agg(F.count("*").alias("n")), "counts"))
+    levels.reverse()
+    symbols = levels[0].count()
+    tables, below = [], None
+    for order, counts in enumerate(levels, 1):
+        rare = counts.groupBy("i").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
+        discounts = np.ones(count)
+        for r in rare:
+            discounts[r.i] = _discount(r.once, r.twice)
+        below, weights = _order_tables(counts, order, below, discounts, float(np.log(1.0 / max(2, symbols))))
+        for kind, found in (("probs", below), ("weights", weights)):
+            tables.append(found.select(F.lit(order).alias("order"), F.lit(kind).alias("kind"), "key", "values"))
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionAll(t)
+    whole = written(whole, "model")
+    shards = -(-whole.count() * count // SHARD_VALUES)
+    if shards > 1:
+        path = new_path(spark, "shards")
+        dealt = whole.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+        dealt.repartition(F.col("shard")).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+        whole = spark.read.parquet(path)
+    made = []
+    for s in range(shards):
+        part = (whole.where(F.col("shard") == s) if shards > 1 else whole).select("order", "kind", "key", "values").toArrow().combine_chunks()
+        orders, kinds = part.column("order").to_numpy(), np.array(part.column("kind").to_pylist(), object)
+        keys = part.column("key").to_numpy().view(np.uint64)
+        values = part.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
+        probs, weights = ([(keys[at], values[at]) for at in (np.flatnonzero((orders == o) & (kinds == k)) for o in range(1, ORDER + 1))] for k in ("probs", "weights"))
+        made.append(spark.sparkContext.broadcast(Shard(probs, weights)))
+    return Model.of_shards(languages, symbols, made)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -270,12 +415,28 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     added = ("lang_pred", "score", "entropy", "rejected")
     own = [c for c in docs.columns if c not in added]
     docs = docs.select(*(F.col(f"`{c}`") for c in own))
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), own.index(text)
+    at = own.index(text)
 
-    def run(batches):
+    def gathered(batches):
+        """Lists of batches that are worked through together."""
+        most, some, size = model.held(), [], 0
         for b in batches:
-            langs, score, entropy, rejected = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*own, *added])
+            some.append(b)
+            size += b.column(at).nbytes
+            if size >= most:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
+
+    def run(batches):
+        for some in gathered(batches):
+            langs, score, entropy, rejected = model.predict([t for b in some for t in b.column(at).to_pylist()])
+            start = 0
+            for b in some:
+                part = slice(start, start + len(b))
+                start += len(b)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs[part], pa.string()), pa.array(score[part]), pa.array(entropy[part]), pa.array(rejected[part])], names=[*own, *added])
 
     return map_batches(docs, run, extended(docs.schema, ("lang_pred", "string"), ("score", "double"), ("entropy", "double"), ("rejected", "boolean")))
 
