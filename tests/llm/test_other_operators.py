@@ -179,6 +179,38 @@ def test_false_magic_across_ranges(spark, tmp_path, split):
     assert sorted((r.page_id, bytes(r.payload)) for r in found) == sorted([(1, b"x\x1f\x8b\x08y" * 3 + b"z" * 50)] * 2 + [(2, b"plain")])
 
 
+def magic_in_header(page_id: int, payload: bytes) -> bytes:
+    """A record's member whose gzip header (a file name) holds the magic, so that its first piece decodes to nothing."""
+    data = warc.record(page_id, "u", payload)
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    return warc.MAGIC + b"\x08" + bytes(6) + b"na\x1f\x8b\x08me\x1f\x8b\x08\x04.\0" + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+
+
+@pytest.mark.parametrize("split", [7, 37, 100, 1 << 20])
+def test_magic_before_a_record_decodes(spark, tmp_path, split):
+    plain = [warc.member(warc.record(i, "u", b"plain %d" % i)) for i in range(3)]
+    (tmp_path / "a.warc").write_bytes(plain[0] + magic_in_header(7, b"seven") + false_magic() + magic_in_header(8, b"eight") + plain[1])
+    (tmp_path / "b.warc").write_bytes(magic_in_header(9, b"nine") + plain[2] + magic_in_header(10, b"ten"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(i, b"plain %d" % i) for i in range(3)] + [(1, b"x\x1f\x8b\x08y" * 3 + b"z" * 50), (7, b"seven"), (8, b"eight"), (9, b"nine"), (10, b"ten")]
+    assert sorted((r.page_id, bytes(r.payload)) for r in found) == sorted(want)
+
+
+def test_bytes_behind_a_record_are_an_error():
+    data = warc.record(1, "u", b"p")
+    assert warc.parse_record(data)[1].endswith(b"p")
+    with pytest.raises(ValueError, match="longer"):
+        warc.parse_record(data + warc.record(2, "u", b"q"))
+
+
 def test_large_member_ends_in_zero():
     big = warc.member(bytes(17 << 20))
     assert big[-1] == 0 and warc._inflate(big) == bytes(17 << 20)

@@ -10,8 +10,9 @@ Spark writes to will do, and its commit protocol holds.
 Reading. Spark's line reader takes the gzip magic as separator, so files are split at any byte and a task
 owns the pieces that begin behind a magic inside its range. A piece is a record's beginning if its gzip
 header and first bytes decode to a WARC version line; else the magic stood inside compressed
-data, and the piece belongs to the record before it. Where such a false magic is the first of another
-task's range, the pieces are put together in a second step, by file.
+data, and the piece belongs to the record before it. A piece too short to decide joins those after it until
+it is decided. Where such a false magic is the first of another
+task's range, or a piece is undecided at a range's end, the pieces are put together in a second step, by file.
 
 Name archives with any suffix but .gz, since the reader would decompress those as a whole.
 
@@ -25,7 +26,10 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -117,12 +121,39 @@ def _inflate(data: bytes) -> bytes | None:
     return b"".join(out)
 
 
-def begins_record(data: bytes) -> bool:
-    """Whether the bytes decode to the beginning of a WARC record."""
-    try:
-        return zlib.decompressobj(31).decompress(data[:PROBE], 5) == b"WARC/"
-    except zlib.error:
-        return False
+def begins_record(data: bytes) -> bool | None:
+    """Whether the bytes decode to the beginning of a WARC record; None if they are too few to tell."""
+    for part in (data[:PROBE], data):
+        d = zlib.decompressobj(31)
+        try:
+            found = d.decompress(part, 5)
+        except zlib.error:
+            return False
+        if len(found) == 5 or d.eof or not b"WARC/".startswith(found):
+            return found == b"WARC/"
+    return None
+
+
+def _judged(pieces: Iterator[bytes]) -> Iterator[tuple[bool | None, bytes]]:
+    """(whether a record begins, piece): a beginning comes with the pieces it took to decide, whose magics lie inside it."""
+    ahead: deque[bytes] = deque()
+    while ahead or (more := next(pieces, None)) is not None:
+        if not ahead:
+            ahead.append(more)
+        taken, data = 1, ahead[0]
+        while (begins := begins_record(data)) is None:
+            if taken == len(ahead):
+                if (more := next(pieces, None)) is None:
+                    break
+                ahead.append(more)
+            data += ahead[taken]
+            taken += 1
+        if begins:
+            for _ in range(taken):
+                ahead.popleft()
+            yield True, data
+        else:
+            yield begins, ahead.popleft()
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -135,6 +166,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     size = int(fields["content-length"])
     if len(rest) < size:
         raise ValueError("a record is shorter than its Content-Length")
+    if rest[size:].strip(b"\r\n"):
+        raise ValueError("a record is longer than its Content-Length")
     return fields, rest[:size]
 
 
@@ -161,34 +194,42 @@ FRAGMENTS = "path string, block bigint, seq bigint, fragment binary"
 
 def _split_records(pieces: Iterator[tuple[bytes, str, int]], payloads: bool) -> Iterator[tuple]:
     """Rows of fields and place: records that are whole in one range, and fragments that aren't."""
-    place, seq, held = None, 0, None
+
+    def torn(data):
+        nonlocal seq
+        seq += 1
+        return (*[None] * 7, *place, seq, data)
 
     def closed():
         if held is not None:
             data = _inflate(held)
             if data is None:
-                yield (*[None] * 7, *place, seq, held)
+                yield torn(held)
             else:
                 page = page_of(data)
                 yield (*(page if payloads else (*page[:6], None)), None, None, None, None)
 
-    for piece, path, block in pieces:
-        if (path, block) != place:
-            yield from closed()
-            place, held, first = (path, block), None, block == 0
-        seq += 1
-        if first:  # what stands before a file's first magic
-            first = False
-            continue
-        data = MAGIC + piece
-        if begins_record(data):
-            yield from closed()
-            held = data
-        elif held is not None:
-            held += data
+    for place, group in groupby(pieces, key=itemgetter(1, 2)):
+        seq, held, unsure = 0, None, []
+        # at a file's start: without what stands before its first magic
+        for begins, data in _judged(MAGIC + p for p, _, _ in islice(group, place[1] == 0, None)):
+            if begins:
+                if held is None:
+                    yield from map(torn, unsure)
+                else:
+                    held += b"".join(unsure)
+                    yield from closed()
+                held, unsure = data, []
+            elif begins is None or unsure:
+                unsure.append(data)
+            elif held is not None:
+                held += data
+            else:
+                yield torn(data)
+        if unsure:
+            yield from map(torn, unsure if held is None else [held, *unsure])
         else:
-            yield (*[None] * 7, *place, seq, data)
-    yield from closed()
+            yield from closed()
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -217,8 +258,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         """A file's fragments in order: a record's beginning and what other ranges found of it."""
         rows, held = [], None
         ordered = sorted(zip(*(table.column(n).to_pylist() for n in ("block", "seq", "fragment")), strict=True))
-        for _, _, data in [*ordered, (0, 0, None)]:
-            if data is not None and not begins_record(data):
+        for begins, data in [*_judged(d for _, _, d in ordered), (True, None)]:
+            if not begins:
                 held = None if held is None else held + data
                 continue
             if held is not None:
