@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from tidelog.llm import bpe, decontaminate, fm_index, langid, licenses, rans, simhash, token_file, toxicity
 from tidelog.llm.common import new_path
+from tidelog.llm.queries import QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -178,6 +179,19 @@ def test_licenses(spark):
     assert licenses.scan(df, licenses.template_table(spark, {})).count() == 0 and licenses.scan(df.limit(0), licenses.template_table(spark)).count() == 0
 
 
+def test_whole_license_texts(spark, tmp_path):
+    t = licenses.whole_templates()
+    assert len(licenses.anchors(list(t.values()))) > licenses.MOST_ANCHORS  # the scan does without its first filter
+    names = ["MPL-2.0-text", "LGPL-2.1-text", "BSD-3-Clause-text", "GPL-3-text", "MPL-2.0-notice", "LGPL-2.1-or-later-notice", "AGPL-3.0-or-later-notice", "EPL-2.0-notice", "CC-BY-4.0-notice", "CC-BY-SA-4.0-notice", "Unlicense"]
+    texts = [f"before {t[n]} after" for n in names] + ["no license here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for r in QUERIES["op3_licenses_whole"](spark, str(tmp_path)).collect():
+        found.setdefault(r.doc_id, {})[r.license] = r.n_found
+    assert found == {i: b for i, x in enumerate(texts) if (b := brute_licenses(x, t))}
+    assert all(n in found[i] for i, n in enumerate(names))
+
+
 def test_license_scan_has_no_python(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], SCHEMA), licenses.template_table(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan

@@ -99,6 +99,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
 
 
+def op3_licenses_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for whole license texts and more notices."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark, licenses.whole_templates()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op3_licenses": op3_licenses,
+    "op3_licenses_whole": op3_licenses_whole,
 }
 
 OP5_SQL = """
@@ -138,4 +144,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op5_topk": OP5_SQL, "op6_decontaminate": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op3_licenses_whole": licenses.oracle_sql(licenses.whole_templates()), "op5_topk": OP5_SQL, "op6_decontaminate": OP6_SQL}
