@@ -12,6 +12,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import bpe, decontaminate, fm_index, langid, licenses, rans, simhash, token_file, toxicity
@@ -434,6 +435,22 @@ def test_language_model_keeps_all_grams(spark, monkeypatch):
         assert [r.lang_pred for r in sorted(found, key=lambda r: r.id)] == want.predict(asked)[0]
 
 
+def test_calibration_takes_all_distinct_texts(spark):
+    rng = np.random.default_rng(6)
+    made = [("xy"[i % 2] * 2, " ".join("".join(rng.choice(["kat", "omi", "rus"] if i % 2 else ["sch", "ber", "ung"], 3)) for _ in range(12))) for i in range(40)]
+    df = spark.createDataFrame(made, "lang string, text string")
+    model = langid.fit(df)
+    # one text's copies have the least hash and alone fill any bounded sample
+    least = df.orderBy(F.xxhash64("text")).first()
+    copies = spark.range(3000).select(F.lit(least.lang).alias("lang"), F.lit(least.text).alias("text"))
+    usual = langid.calibrate(model, df.unionByName(copies)).usual
+    h = dict(zip([t for _, t in made], model.entropies([t for _, t in made])[0].min(axis=1), strict=True))
+    assert set(usual) == {"xx", "yy"}
+    for lang, (mean, sd) in usual.items():
+        own = [h[t] for t in {t for x, t in made if x == lang}]
+        assert np.isclose(mean, np.mean(own)) and np.isclose(sd, np.std(own)) and sd > 0
+
+
 def test_digests_are_of_little_endian_ids(merges):
     packed = bpe.TextCodec(merges, public_tokenizers.PATTERN).encode("hello world")
     assert packed == struct.pack("<2I", *merges.encode(b"hello"), *merges.encode(b" world"))

@@ -9,8 +9,8 @@ a directory of the hashes' leading bits. An unseen n-gram costs its context's ba
 looked up one order down. The tables are dealt by hash into shards of bounded size, each broadcast on its own;
 where there are more than KEPT_SHARDS, a worker holds one at a time and searches it for HELD characters of texts at once.
 
-The answer is the language of the lowest cross-entropy per symbol. Rejection is calibrated on a bounded
-sample of training texts: `rejected` is set for texts whose best cross-entropy lies further above that
+The answer is the language of the lowest cross-entropy per symbol. Rejection is calibrated on all distinct
+training texts: `rejected` is set for texts whose best cross-entropy lies further above that
 language's own mean than REJECT_SD standard deviations and REJECT_NATS (so odd but clean texts stay),
 and for texts without a letter. Texts under REJECT_SYMBOLS symbols are never rejected otherwise.
 
@@ -39,8 +39,6 @@ MOST_LANGUAGES = 512
 SHARD_VALUES, KEPT_SHARDS = 4_000_000, 4
 #: Characters of texts that are looked up at once in a model of more shards, for up to four languages (fewer for more).
 HELD = 16 << 20
-#: Training texts that calibrate rejection.
-CALIBRATION_TEXTS = 2000
 REJECT_SD, REJECT_NATS, REJECT_SYMBOLS = 12.0, 1.5, 20
 #: Sharpness of the score: how fast it falls when another language comes close, in nats per symbol.
 SHARPNESS = 20.0
@@ -442,10 +440,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def calibrate(model: Model, docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Learn the usual cross-entropy of each language from CALIBRATION_TEXTS of the docs, taken by the hash of their text."""
+    """Learn the usual cross-entropy of each language from all distinct texts of the docs (told apart by hash and length)."""
     known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null")
-    some = known.select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h").limit(CALIBRATION_TEXTS).select("lang", "text")
-    own = identify(some, model).where("lang = lang_pred")
+    scored = identify(known.select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("chars")), model)
+    # copies are left out behind the scores, so that no text is shuffled
+    own = scored.where("lang = lang_pred").groupBy("lang", "h", "chars").agg(F.first("entropy").alias("entropy"))
     rows = own.groupBy("lang").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("sd")).collect()
     model.usual = {r.lang: (r.m, r.sd) for r in rows}
     return model
