@@ -116,3 +116,22 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key of more than a MOST_HOT-th of the rows is hot; so there are fewer than MOST_HOT hot keys, whatever the data.
+MOST_HOT = 10_000
+
+
+def join_split(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, value: str) -> DataFrame:
+    """rows with `value` of the row of `found` (key, n, value; a row a key, n of the `rows` each) that has their key, else null.
+
+    Hot keys, fewer than MOST_HOT, come by broadcast and their rows stay where they are as long as there is no other key to join;
+    in the shuffle for all others they are dealt evenly. So no task gets more than its share of rows, however many of them have one key.
+    """
+    hot = found.where(F.col(n) > F.lit(total / MOST_HOT)).select(F.col(key).alias("hot_key"), F.col(value).alias("hot_value"))
+    cold = found.where(F.col(n) <= F.lit(total / MOST_HOT)).select(F.col(key).alias("cold_key"), F.col(value).alias("cold_value"))
+    near = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    # a key that no row of `found` has, another for each row
+    spread = F.when(F.col("hot_key").isNull(), F.col(key)).otherwise(F.concat(F.lit(b"\0"), F.monotonically_increasing_id().cast("string").cast("binary")))
+    both = near.withColumn("join_key", spread).join(cold, F.col("join_key") == F.col("cold_key"), "left")
+    return both.select(*rows.columns, F.coalesce("hot_value", "cold_value").alias(value))

@@ -1,8 +1,7 @@
 r"""WARC archives: writing one gzip member per record, and reading them back by byte ranges.
 
 Writing. Of records with equal payloads of at least `least_bytes`, that of the smallest page_id is a
-response, the others revisit it; all else is a response. Payloads are equal if length, SHA-1 and
-SHA-256 are. Archives are written by the text writer, whose rows may be any bytes: the last byte of a
+response, the others revisit it; all else is a response. Payloads are equal if their SHA-256 is. Archives are written by the text writer, whose rows may be any bytes: the last byte of a
 gzip member is the top byte of its length, zero below 16 MB, so it serves as the line separator and
 files hold nothing but members (a longer one is followed by an empty member). So any file system that
 Spark writes to will do, and its commit protocol holds.
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import map_batches, only, written
+from tidelog.llm.common import join_split, map_batches, only, written
 
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 2
@@ -43,6 +42,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Bytes of a candidate that are decoded to see whether a record begins.
 PROBE = 512
+#: Tasks that put torn records together, at most; each holds one file's fragments at a time.
+TORN_TASKS = 1000
 
 
 def digest32(payload: bytes) -> str:
@@ -80,15 +81,23 @@ def member(data: bytes) -> bytes:
 
 
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): what each page's record will be."""
+    """(page_id, url, payload, refers_to): what each page's record will be.
+
+    Which page revisits which is decided on (page_id, digest) alone; payloads meet the decisions by their own page's key, so
+    equal payloads are dealt like any others.
+    """
     rows = only(pages, "page_id", "url", "html")
     rows = rows.withColumn("payload", F.coalesce(F.col("html").cast("binary"), F.lit(b""))).drop("html")
-    rows = rows.withColumn("k", F.concat_ws(":", F.octet_length("payload"), F.sha1("payload"), F.sha2("payload", 256)))
-    shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("k").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    shared = shared.where("n > 1").select(F.col("k").alias("k2"), "least")
-    joined = rows.join(shared, F.col("k") == F.col("k2"), "left")
-    other = F.col("least").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least")))
-    return joined.select("page_id", "url", "payload", F.when(other, F.col("least")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    narrow = written(rows.select("page_id", "digest", (F.octet_length("payload") >= least_bytes).alias("large")), "digests")
+    total = narrow.count()
+    shared = narrow.where("large").groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    shared = written(shared.where("n > 1 AND least IS NOT NULL"), "shared")
+    own = F.concat(F.lit("p"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":")).cast("binary")  # of a page and its content
+    decided = join_split(narrow, shared, "digest", "n", total, "least").where("least IS NOT NULL AND (page_id IS NULL OR page_id != least)")
+    decided = written(decided.groupBy(F.concat(own, "digest").alias("own")).agg(F.min("least").alias("refers_to"), F.count("*").alias("n")), "revisits")
+    keyed = rows.select("page_id", "url", "payload", F.concat(own, "digest").alias("own"))
+    return join_split(keyed, decided, "own", "n", total, "refers_to").drop("own")
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> str:
@@ -273,5 +282,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
     whole = found.where(F.col("fragment").isNull()).select(*(n for n, _ in _FIELDS))
-    torn = found.where(F.col("fragment").isNotNull()).groupBy("path").applyInArrow(repair, RECORDS)
-    return whole.unionByName(torn)
+    torn = found.where(F.col("fragment").isNotNull())
+    files = torn.select("path").distinct().count()  # a footer tells of most parts that they have none
+    if not files:
+        return whole
+    few = torn.repartition(min(files, TORN_TASKS), "path").groupBy("path").applyInArrow(repair, RECORDS)
+    return whole.unionByName(few)
