@@ -227,11 +227,31 @@ def test_rans_large_and_damaged():
     assert rans.decode_blocks(rans.encode_blocks([np.array([1, 1, 1], np.uint32)], one), one)[0].tolist() == [1, 1, 1]
 
 
+_codec, _library = token_file.LibraryCodec(JSON, public_tokenizers.PATTERN), Tokenizer.from_file(JSON)
+_PARTS = ["a", "word", " ", "  ", "\n", "\t ", " \n ", "\u00a0", "\u2003", "\x1c", "'s", "don't", "12", "?!", "<|endoftext|>", "<|endoftext|", "|>", "\u00e9t\u00e9", "\u4f60\u597d", "\U0001f600", "\x00", "\x85"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PARTS), max_size=30).map("".join), max_size=5))
+def test_codec_equals_the_library(texts):
+    """Whole texts by the library as it comes, its added token included."""
+    found = [np.frombuffer(x, _codec.kind).tolist() for x in _codec.encode(texts)]
+    assert found == [_library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_codec_of_long_and_odd_texts(monkeypatch):
+    monkeypatch.setattr(token_file, "GROUP_CHARS", 40)
+    texts = [None, "", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", "one two  three \n four " * 30, " ".join(["x" * 50, "y"]), "tail ", "tail  ", "\n "]
+    found = [np.frombuffer(x, _codec.kind).tolist() for x in _codec.encode(texts)]
+    assert found == [_library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    _codec.chunks.clear(), _codec.known.clear()
+    assert found == [np.frombuffer(x, _codec.kind).tolist() for x in _codec.encode(texts)]
+
+
 @pytest.mark.parametrize("partitions", [0, 5])
 def test_token_file(spark, partitions, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK_IDS", 50)
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rows = ODD + [(i, f"text number {i}") for i in range(-3, 40)]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA + ", start int")
     df = df.repartition(partitions) if partitions else df

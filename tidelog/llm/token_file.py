@@ -13,6 +13,7 @@ texts are empty. Every document is closed by the end id, so none is without ids.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
 from operator import lt
@@ -30,16 +31,23 @@ from tidelog.llm.common import map_batches, new_path, only, remove, worker_cache
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
 BLOCK_IDS, GROUP_IDS = 65_536, 3_000_000
 GROUP_BLOCKS = 48
-CACHE_PIECES = 1_200_000
+#: What a worker remembers at most: pieces, and chunks (what stands between two spaces) of up to CHUNK_CHARS characters.
+CACHE_PIECES, CACHE_CHUNKS, CHUNK_CHARS = 800_000, 900_000, 32
 #: Characters of text split at a time, and pieces that are handed to the library at once.
 GROUP_CHARS, JOINED = 120_000, 2000
 
+_ODD_SPACE = re.compile(r" \s")
+
 
 class LibraryCodec:
     """Whole texts by the tokenizers library, which sees each distinct piece of its split once.
 
     The library encodes the pieces of its pattern independently. Pieces not seen lately are handed to it as
     pieces, many at a time; how many bytes each token spells tells which of the ids are whose.
+
+    Added tokens are cut out of a text first, as the library does; their strings never reach the pieces.
+    In a text whose spaces each stand before something else than white space, no piece goes past a space but at its beginning,
+    so such a text is the sequence of its chunks, and those are what is looked up.
     """
 
     def __init__(self, path: str, pattern: str, more: int = 0):
@@ -47,7 +55,13 @@ class LibraryCodec:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
+        #: Tokens that also claim what is around them are left to the library, with the whole text.
+        greedy = any(t.single_word or t.lstrip or t.rstrip for t in added.values())
+        self.whole = Tokenizer.from_file(path) if greedy else None
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are split already
         vocabulary = self.library.get_vocab()
         self.size = max(max(vocabulary.values()), more) + 1
@@ -57,6 +71,7 @@ class LibraryCodec:
             self.bytes_in[i] = len(token)
         self.splitter = Splitter(pattern)
         self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # without the space before them, which counts
 
     def _learn(self, pieces: list[str]) -> None:
         groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
@@ -84,23 +99,56 @@ class LibraryCodec:
         ends = list(accumulate(map(len, lists)))
         return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
+    def _of_chunks(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that their chunks make up."""
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        split = [t.split(" ") for t in texts]
+        heads = self._packed([self.splitter.findall(s[0]) for s in split])
+        rest = list(chain.from_iterable(s[1:] for s in split))
+        found = list(map(self.chunks.get, rest))
+        if gaps := [i for i, x in enumerate(found) if x is None]:
+            new = list({rest[i] for i in gaps})
+            fresh = dict(zip(new, self._packed([self.splitter.findall(f" {c}") for c in new]), strict=True))
+            for i in gaps:
+                found[i] = fresh[rest[i]]
+            self.chunks.update((c, x) for c, x in fresh.items() if len(c) <= CHUNK_CHARS)
+        ends = list(accumulate(len(s) - 1 for s in split))
+        return [b"".join([h, *found[i:j]]) for h, i, j in zip(heads, [0, *ends], ends, strict=False)]
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        even = [not t.endswith(" ") and not _ODD_SPACE.search(t) for t in texts]
+        chunked = iter(self._of_chunks([t for t, e in zip(texts, even, strict=True) if e]))
+        others = iter(self._packed([self.splitter.findall(t) for t, e in zip(texts, even, strict=True) if not e]))
+        return [next(chunked if e else others) for e in even]
+
+    def _around_added(self, text: str) -> bytes:
+        """Packed ids of a text that holds added tokens."""
+        if self.whole:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        parts = self.cut.split(text)
+        between = iter(self.encode(parts[::2]))
+        return b"".join(next(between) if i % 2 == 0 else np.array([self.added[p]], self.kind).tobytes() for i, p in enumerate(parts))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (of type `kind`) of each text."""
         out: list[bytes] = []
         group: list[str] = []
-        size = 0
+        size, added = 0, list(self.added)
         for text in texts:
-            if text and len(text) > GROUP_CHARS:
-                out += self._packed([self.splitter.findall(t) for t in group])
+            text = text or ""
+            odd = any(a in text for a in added)
+            if odd or len(text) > GROUP_CHARS:
+                out += self._group(group)
                 group, size = [], 0
-                out.append(b"".join(self._packed([block])[0] for block in self.splitter.blocks(text, GROUP_CHARS // 4)))
+                out.append(self._around_added(text) if odd else b"".join(self._packed([block])[0] for block in self.splitter.blocks(text, GROUP_CHARS // 4)))
                 continue
-            group.append(text or "")
-            size += len(text or "")
+            group.append(text)
+            size += len(text)
             if size > GROUP_CHARS:
-                out += self._packed([self.splitter.findall(t) for t in group])
+                out += self._group(group)
                 group, size = [], 0
-        return out + self._packed([self.splitter.findall(t) for t in group])
+        return out + self._group(group)
 
 
 def id_type(size: int) -> np.dtype:
