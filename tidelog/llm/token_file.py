@@ -31,14 +31,10 @@ from tidelog.llm.common import map_batches, new_path, only, remove, worker_cache
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
 BLOCK_IDS, GROUP_IDS = 65_536, 3_000_000
 GROUP_BLOCKS = 48
-#: What a worker remembers at most: pieces, and chunks (what stands between two spaces) of up to CHUNK_CHARS characters.
-CACHE_PIECES, CACHE_CHUNKS, CHUNK_CHARS = 800_000, 900_000, 32
+CACHE_PIECES = 1_200_000
 #: Characters of text split at a time, and pieces that are handed to the library at once.
 GROUP_CHARS, JOINED = 120_000, 2000
 
-_ODD_SPACE = re.compile(r" \s")
-
-
 class LibraryCodec:
     """Whole texts by the tokenizers library, which sees each distinct piece of its split once.
 
@@ -46,8 +42,6 @@ class LibraryCodec:
     pieces, many at a time; how many bytes each token spells tells which of the ids are whose.
 
     Added tokens are cut out of a text first, as the library does; their strings never reach the pieces.
-    In a text whose spaces each stand before something else than white space, no piece goes past a space but at its beginning,
-    so such a text is the sequence of its chunks, and those are what is looked up.
     """
 
     def __init__(self, path: str, pattern: str, more: int = 0):
@@ -71,7 +65,6 @@ class LibraryCodec:
             self.bytes_in[i] = len(token)
         self.splitter = Splitter(pattern)
         self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}  # without the space before them, which counts
 
     def _learn(self, pieces: list[str]) -> None:
         groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
@@ -99,28 +92,8 @@ class LibraryCodec:
         ends = list(accumulate(map(len, lists)))
         return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
-    def _of_chunks(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts that their chunks make up."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        split = [t.split(" ") for t in texts]
-        heads = self._packed([self.splitter.findall(s[0]) for s in split])
-        rest = list(chain.from_iterable(s[1:] for s in split))
-        found = list(map(self.chunks.get, rest))
-        if gaps := [i for i, x in enumerate(found) if x is None]:
-            new = list({rest[i] for i in gaps})
-            fresh = dict(zip(new, self._packed([self.splitter.findall(f" {c}") for c in new]), strict=True))
-            for i in gaps:
-                found[i] = fresh[rest[i]]
-            self.chunks.update((c, x) for c, x in fresh.items() if len(c) <= CHUNK_CHARS)
-        ends = list(accumulate(len(s) - 1 for s in split))
-        return [b"".join([h, *found[i:j]]) for h, i, j in zip(heads, [0, *ends], ends, strict=False)]
-
     def _group(self, texts: list[str]) -> list[bytes]:
-        even = [not t.endswith(" ") and not _ODD_SPACE.search(t) for t in texts]
-        chunked = iter(self._of_chunks([t for t, e in zip(texts, even, strict=True) if e]))
-        others = iter(self._packed([self.splitter.findall(t) for t, e in zip(texts, even, strict=True) if not e]))
-        return [next(chunked if e else others) for e in even]
+        return self._packed([self.splitter.findall(t) for t in texts])
 
     def _around_added(self, text: str) -> bytes:
         """Packed ids of a text that holds added tokens."""
