@@ -35,6 +35,7 @@ CACHE_PIECES = 1_200_000
 #: Characters of text split at a time, and pieces that are handed to the library at once.
 GROUP_CHARS, JOINED = 120_000, 2000
 
+
 class LibraryCodec:
     """Whole texts by the tokenizers library, which sees each distinct piece of its split once.
 
