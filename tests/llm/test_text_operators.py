@@ -391,14 +391,88 @@ def test_toxicity_of_held_out_rows(spark):
 def test_kneser_ney_sums_to_one():
     grams = [langid._grams(["abracadabra abba", "cab"])[0], langid._grams(["xyz zyx xyzzy"])[0]]
     model = langid.Model(["a", "b"], [np.unique(g, return_counts=True) for g in grams])
-    alphabet = np.unique(np.concatenate(grams) & np.uint64(0xFFFF))
+    alphabet = np.append(np.unique(np.concatenate(grams) & np.uint64(0xFFFF)), np.uint64(ord("ñ")))  # the last: all that no text has
     for context in ("abr", "xyz", "qqq"):
         packed = np.uint64(0)
         for c in context:
             packed = packed << np.uint64(16) | np.uint64(ord(c))
         keys = (packed << np.uint64(16)) | alphabet
         p = np.exp(model._score(keys, langid.ORDER).astype(float))
-        assert np.allclose(p.sum(axis=0), 1, atol=0.12) and (p > 0).all()
+        assert np.allclose(p.sum(axis=0), 1, atol=1e-6) and (p > 0).all()
+
+
+def _plain_kneser_ney(texts: list[str], alphabet: int, order: int = 4):
+    """Probability of a symbol behind its context, by the definition and with dictionaries."""
+    symbols = []
+    for t in texts:
+        line = "\0\0\0"
+        for c in " " + t.lower() + " ":
+            c = c if c.isalpha() else " "
+            line += "" if c == line[-1] == " " else c
+        symbols.append(line)
+    counts = {order: {}}
+    for line in symbols:
+        for i in range(order - 1, len(line)):
+            if line[i] != "\0":
+                g = line[i - order + 1 : i + 1]
+                counts[order][g] = counts[order].get(g, 0) + 1
+    for o in range(order - 1, 0, -1):
+        counts[o] = {}
+        for g in counts[o + 1]:
+            counts[o][g[1:]] = counts[o].get(g[1:], 0) + 1
+
+    def prob(gram: str) -> float:
+        if not gram:
+            return 1 / (alphabet + 1)
+        table = counts[len(gram)]
+        once, twice = (sum(n == k for n in table.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, once / max(1.0, once + 2.0 * twice)))
+        same = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return prob(gram[1:])
+        return max(table.get(gram, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * prob(gram[1:])
+
+    return symbols, prob
+
+
+def test_kneser_ney_against_its_definition(spark):
+    texts = {"xx": ["banana bandana", "An apple, a day!", "aaa"], "yy": ["zig zag zigzag", "été à la plage"]}
+    alphabet = len({c if c.isalpha() else " " for ts in texts.values() for t in ts for c in t.lower()} | {" "})
+    df = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "lang string, text string")
+    grams = [np.unique(np.concatenate([langid._grams([t])[0] for t in texts[k]]), return_counts=True) for k in ("xx", "yy")]
+    asked = ["banana zag", "plage ñandu", "", "b"]
+    for model in (langid.fit(df), langid.Model(["xx", "yy"], grams)):
+        found = model.entropies(asked)[0]
+        for k, lang in enumerate(("xx", "yy")):
+            _, prob = _plain_kneser_ney(texts[lang], alphabet)
+            for i, t in enumerate(asked):
+                line = _plain_kneser_ney([t], 1)[0][0]
+                want = [-np.log(prob(line[j - 3 : j + 1])) for j in range(3, len(line))] if t else [0.0]
+                assert np.isclose(found[i, k], np.mean(want), atol=1e-4), (t, lang)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abé \n1.\0"), max_size=60), max_size=4), st.integers(1, 9))
+def test_pieces_change_nothing(texts, size):
+    grams = [np.unique(langid._grams([t])[0], return_counts=True) for t in ("abab ba", "bé éa ")]
+    model = langid.Model(["x", "y"], grams)
+    whole = model.entropies(texts)
+    before, langid.PIECE = langid.PIECE, size
+    try:
+        parts = model.entropies(texts)
+    finally:
+        langid.PIECE = before
+    assert np.allclose(parts[0], whole[0], atol=1e-6) and (parts[1] == whole[1]).all() and (parts[2] == whole[2]).all()
+
+
+def test_other_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fitted(docs.where("lang in ('de', 'en', 'fr')"))
+    rows = langid.identify(docs.where("text is not null"), model).select("lang", "rejected", F.length("text").alias("n")).collect()
+    own = [r.rejected for r in rows if r.lang in ("de", "en", "fr")]
+    other = [r.rejected for r in rows if r.lang == "es" and r.n > 200]
+    assert sum(own) <= 0.01 * len(own) and len(other) > 10 and sum(other) > 0.8 * len(other)
+
 
 
 def test_hash_array():

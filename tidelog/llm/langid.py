@@ -11,13 +11,14 @@ where there are more than KEPT_SHARDS, a worker holds one at a time and searches
 
 The answer is the language of the lowest cross-entropy per symbol. Rejection is calibrated on all distinct
 training texts: `rejected` is set for texts whose best cross-entropy lies further above that
-language's own mean than REJECT_SD standard deviations and REJECT_NATS (so odd but clean texts stay),
+language's own mean than REJECT_SD standard deviations and REJECT_NATS (so odd but clean texts stay and most of other languages go),
 and for texts without a letter. Texts under REJECT_SYMBOLS symbols are never rejected otherwise.
 
 Symbols are lower-cased letters; all else is a space, and runs of spaces are one. Null texts and texts
 without letters are `und` with score 0. Rows without a language or an id aren't learned from; with
 nothing to learn from every text is `und`. Ties go to the language that sorts first. Texts of over
-PIECE characters are worked through in pieces, each beginning as a text does.
+PIECE characters are worked through in pieces, each in the context of the one before, which changes no result.
+More than MOST_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ MOST_LANGUAGES = 512
 SHARD_VALUES, KEPT_SHARDS = 4_000_000, 4
 #: Characters of texts that are looked up at once in a model of more shards, for up to four languages (fewer for more).
 HELD = 16 << 20
-REJECT_SD, REJECT_NATS, REJECT_SYMBOLS = 12.0, 1.5, 20
-#: Sharpness of the score: how fast it falls when another language comes close, in nats per symbol.
-SHARPNESS = 20.0
+REJECT_SD, REJECT_NATS, REJECT_SYMBOLS = 10.0, 1.1, 20
+#: What the score's sharpness is chosen from: how fast it falls when another language comes close, in nats per symbol.
+SHARPNESS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _symbols: np.ndarray | None = None
 
@@ -63,7 +64,7 @@ def symbol_table() -> np.ndarray:
 
 
 def _groups(texts: list[str | None]):
-    """Lists of (number of the text, a piece of it) of about PIECE characters in all."""
+    """Lists of (number of the text, a piece of it, whether more of it follows) of about PIECE characters in all. A piece that isn't its text's last is alone."""
     group, size = [], 0
     for i, t in enumerate(texts):
         if not t:
@@ -71,29 +72,50 @@ def _groups(texts: list[str | None]):
         if "\0" in t:
             t = t.replace("\0", " ")
         for at in range(0, len(t), PIECE):
-            piece = t[at : at + PIECE]
-            if size + len(piece) > PIECE and group:
+            piece, more = t[at : at + PIECE], at + PIECE < len(t)
+            if group and (more or size + len(piece) > PIECE):
                 yield group
                 group, size = [], 0
-            group.append((i, piece))
+            group.append((i, piece, more))
             size += len(piece)
+            if more:
+                yield group
+                group, size = [], 0
     if group:
         yield group
 
 
-def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed 4-grams, the piece that each belongs to, whether each piece has a letter), in order of the pieces."""
-    joined = "\0\0\0 " + " \0\0\0 ".join(pieces) + " "
+def _grams(pieces: list[str], before: np.ndarray | None = None, more: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed 4-grams, the piece that each belongs to, whether each piece has a letter, the last symbols), in order of the pieces.
+
+    before: the last symbols of the piece that the first one goes on from; more: the last one goes on, so nothing ends there.
+    """
+    joined = ("\0\0\0 " if before is None else "") + " \0\0\0 ".join(pieces) + ("" if more else " ")
     s = symbol_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
     space = s == 32
-    s = s[~(space & np.concatenate(([False], space[:-1])))].astype(np.uint64)
+    s = s[~(space & np.concatenate(([before is not None and before[-1] == 32], space[:-1])))].astype(np.uint64)
+    known = 0
+    if before is not None:
+        s, known = np.concatenate((before, s)), len(before)
     packed = s.copy()
     for back in range(1, ORDER):
         packed[back:] |= s[:-back] << np.uint64(16 * back)
-    piece = np.cumsum(s == 0) // 3 - 1
+    zero = s == 0
+    zero[:known] = False
+    piece = np.cumsum(zero) // 3 - (0 if known else 1)
     real = s > 0
-    letters = np.bincount(piece[s > 32], minlength=len(pieces)) > 0
-    return packed[real], piece[real], letters
+    real[:known] = False
+    letters = np.bincount(piece[real & (s > 32)], minlength=len(pieces)) > 0
+    return packed[real], piece[real], letters, s[1 - ORDER :]
+
+
+def _each_group(texts: list[str | None]):
+    """(numbers of the texts, packed 4-grams, place in the numbers, whether there is a letter) of each group; a text in pieces counts as the whole."""
+    before = None
+    for group in _groups(texts):
+        packed, piece, letters, last = _grams([p for _, p, _ in group], before, group[-1][2])
+        yield np.array([i for i, _, _ in group]), packed, piece, letters
+        before = last if group[-1][2] else None
 
 
 def count_grams(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -106,9 +128,9 @@ def count_grams(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
             for name, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 by.setdefault(name, []).append(t)
             for name, texts in by.items():
-                for group in _groups(texts):
+                for _, packed, _, _ in _each_group(texts):
                     parts = held.setdefault(name, [])
-                    parts.append(np.unique(_grams([p for _, p in group])[0], return_counts=True))
+                    parts.append(np.unique(packed, return_counts=True))
                     if len(parts) >= 8:
                         held[name] = [_summed(parts)]
         for name, parts in held.items():
@@ -186,7 +208,7 @@ class Model:
             mask = np.uint64(_low(order - 1))
             levels.append([np.unique(k & mask, return_counts=True) for k, _ in levels[-1]])
         levels.reverse()
-        self._begin(languages, sum(len(k) for k, _ in levels[0]), [])
+        self._begin(languages, len(np.unique(np.concatenate([k for k, _ in levels[0]]))) if count else 0, [])
         probs, weights = [], []
         for order in range(1, ORDER + 1):
             counted = levels[order - 1]
@@ -217,9 +239,11 @@ class Model:
 
     def _begin(self, languages: list[str], symbols: int, shards: list) -> None:
         self.languages, self.shards = languages, shards
-        self.floor = np.log(1.0 / max(2, symbols))
+        #: Below the lowest order: the same for each symbol that any language has, and for all others together.
+        self.floor = np.log(1.0 / (symbols + 1))
         #: language -> (mean, standard deviation) of its own texts' cross-entropy
         self.usual: dict[str, tuple[float, float]] = {}
+        self.sharpness = SHARPNESS[-2]
 
     def _opened(self):
         """The shards, one after the other."""
@@ -273,17 +297,16 @@ class Model:
         keys = None
         if self.held():
             keys = np.zeros(0, np.uint64)
-            for group in _groups(texts):
-                keys = np.union1d(keys, _grams([p for _, p in group])[0])
+            for _, packed, _, _ in _each_group(texts):
+                keys = np.union1d(keys, packed)
             scores = self._scores(keys, ORDER)
-        for group in _groups(texts):
-            packed, piece, lettered = _grams([p for _, p in group])
-            starts = np.searchsorted(piece, np.arange(len(group)))
+        for number, packed, piece, lettered in _each_group(texts):
             each = self._score(packed, ORDER) if keys is None else scores[np.searchsorted(keys, packed)]
-            sums = np.add.reduceat(each, starts, axis=0, dtype=np.float64)
-            counts = np.diff(np.append(starts, len(packed)))
-            number = np.array([i for i, _ in group])
-            np.add.at(total, number, sums)
+            counts = np.bincount(piece, minlength=len(number))
+            some = counts > 0  # of a piece that goes on, all may be spaces that were counted before
+            starts = (np.cumsum(counts) - counts)[some]
+            if len(starts):
+                np.add.at(total, number[some], np.add.reduceat(each, starts, axis=0, dtype=np.float64))
             np.add.at(size, number, counts)
             letters[number[lettered]] = True
         return -total / np.maximum(size, 1)[:, None], size, letters
@@ -296,7 +319,7 @@ class Model:
         h, size, letters = self.entropies(texts)
         best = h.argmin(axis=1)
         least = h[np.arange(n), best]
-        score = np.where(letters, 1.0 / np.exp(-SHARPNESS * (h - least[:, None])).sum(axis=1), 0.0)
+        score = np.where(letters, 1.0 / np.exp(-self.sharpness * (h - least[:, None])).sum(axis=1), 0.0)
         limit = np.array([max(m + REJECT_SD * sd, m + REJECT_NATS) for m, sd in (self.usual.get(x, (np.inf, 0.0)) for x in self.languages)])
         rejected = ~letters | ((least > limit[best]) & (size >= REJECT_SYMBOLS))
         langs = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
@@ -377,14 +400,14 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
         shorter = F.col("gram").bitwiseAND(F.lit(_low(order)))
         levels.append(written(levels[-1].groupBy("i", shorter.alias("gram")).agg(F.count("*").alias("n")), "counts"))
     levels.reverse()
-    symbols = levels[0].count()
+    symbols = levels[0].select("gram").distinct().count()
     tables, below = [], None
     for order, counts in enumerate(levels, 1):
         rare = counts.groupBy("i").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
         discounts = np.ones(count)
         for r in rare:
             discounts[r.i] = _discount(r.once, r.twice)
-        below, weights = _order_tables(counts, order, below, discounts, float(np.log(1.0 / max(2, symbols))))
+        below, weights = _order_tables(counts, order, below, discounts, float(np.log(1.0 / (symbols + 1))))
         for kind, found in (("probs", below), ("weights", weights)):
             tables.append(found.select(F.lit(order).alias("order"), F.lit(kind).alias("kind"), "key", "values"))
     whole = tables[0]
@@ -440,13 +463,36 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def calibrate(model: Model, docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Learn the usual cross-entropy of each language from all distinct texts of the docs (told apart by hash and length)."""
+    """Learn the usual cross-entropy of each language, and the sharpness under which the texts' own languages are likeliest,
+    from all distinct texts of the docs (told apart by hash and length)."""
     known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null")
-    scored = identify(known.select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("chars")), model)
+    place = {x: i for i, x in enumerate(model.languages)}
+
+    def run(batches):
+        for b in batches:
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            h, _, letters = model.entropies(texts)
+            own = np.array([place.get(x, -1) for x in names])
+            use = np.flatnonzero(letters & (own >= 0))
+            h, own = h[use], own[use]
+            right = h[np.arange(len(use)), own] if len(use) else np.zeros(0)
+            least = h.min(axis=1, initial=np.inf)
+            fit = [s * (least - right) - np.log(np.exp(-s * (h - least[:, None])).sum(axis=1)) for s in SHARPNESS]
+            rest = [b.column(i).take(pa.array(use)) for i in (0, 2, 3)]
+            fits = pa.array(np.stack(fit, axis=1).tolist() if len(use) else [], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(right), pa.array(right <= least), fits], names=["lang", "h", "chars", "entropy", "best", "fits"])
+
+    if not model.languages:
+        return model
+    rows = map_batches(known.select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("chars")), run, "lang string, h long, chars int, entropy double, best boolean, fits array<double>")
     # copies are left out behind the scores, so that no text is shuffled
-    own = scored.where("lang = lang_pred").groupBy("lang", "h", "chars").agg(F.first("entropy").alias("entropy"))
-    rows = own.groupBy("lang").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("sd")).collect()
-    model.usual = {r.lang: (r.m, r.sd) for r in rows}
+    each = rows.groupBy("lang", "h", "chars").agg(F.first("entropy").alias("entropy"), F.first("best").alias("best"), F.first("fits").alias("fits"))
+    mine = F.when(F.col("best"), F.col("entropy"))
+    sums = [F.sum(F.col("fits")[i]).alias(f"fit{i}") for i in range(len(SHARPNESS))]
+    found = each.groupBy("lang").agg(F.avg(mine).alias("m"), F.stddev_pop(mine).alias("sd"), *sums).collect()
+    model.usual = {r.lang: (r.m, r.sd) for r in found if r.m is not None}
+    if found:
+        model.sharpness = max(SHARPNESS, key=lambda s: sum(r[f"fit{SHARPNESS.index(s)}"] for r in found))
     return model
 
 
