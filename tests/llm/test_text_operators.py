@@ -360,6 +360,41 @@ def test_matching_in_windows(monkeypatch):
     assert lexicon.match(text) == want == (50.0, 50)
 
 
+def _plain_match(text: str, weights: dict[str, float], exceptions: tuple[str, ...]) -> tuple[float, int]:
+    """Every entry tried at every beginning of a word."""
+    f = toxicity.fold(text)
+    begins = [i for i in range(len(f)) if i == 0 or not f[i - 1].isalnum()]
+    ends = lambda i: i == len(f) or not f[i].isalnum()
+    free = [(i, i + len(p)) for i in begins for p in map(toxicity.fold, exceptions) if f.startswith(p, i) and ends(i + len(p))]
+    total, count = 0.0, 0
+    for i in begins:
+        fit = [w for k, w in weights.items() if f.startswith(k.strip(), i) and (not k.endswith(" ") or ends(i + len(k.strip())))]
+        if fit and not any(a <= i < b for a, b in free):
+            total, count = total + max(fit), count + 1
+    return total, count
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "can", "cans", "tr4sh", "bin", "a", "trashy", " ", "  ", "-", "!", "Çan", "\u0301"]), max_size=25), st.integers(1, 12))
+def test_matching_against_brute_force(parts, window):
+    """Also with phrases that windows cut."""
+    weights, exceptions = {"trash ": 2.0, "tra": 1.0, "can ": 0.5, "bin": 4.0}, ("trash can", "a trash can bin", "can")
+    lexicon, text = toxicity.Lexicon(weights, exceptions), " ".join(parts)
+    want = _plain_match(text, weights, exceptions)
+    assert lexicon.match(text) == want
+    before, toxicity.WINDOW = toxicity.WINDOW, window
+    try:
+        assert lexicon.match(text) == want
+    finally:
+        toxicity.WINDOW = before
+
+
+def test_toxicity_of_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
 def test_toxicity_of_held_out_rows(spark):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]

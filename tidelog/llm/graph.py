@@ -51,5 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == before:
             break
         before, old = tuple(state), path
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -13,8 +13,8 @@ the labels' own proportion.
 
 Null and empty texts have no match and get the score of such texts. Without labels of both classes
 the lexicon is empty and all scores equal the share of toxic labels. Rows with a null id or label are
-not learned from. Text length doesn't matter: a text is matched in windows of WINDOW characters, cut
-at a space where there is one.
+not learned from. A text is folded in windows of about WINDOW characters that end at a space; what could still be part of a
+phrase is carried over, so the windows change no result. The lexicon has every entry that the sample supports.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 20_000
 #: An entry's least log odds, least number of different words before it, and length of prefixes.
 LEAST_ODDS, LEAST_CONTEXTS, CONTEXT_SHARE = 4.0, 5, 0.004
 PREFIXES = range(4, 11)
-MOST_ENTRIES = 5000
+#: Characters folded at a time, up to the next space.
 WINDOW = 1 << 20
 
 # Letters that look like Latin ones, and digits and signs that are read as letters.
@@ -84,15 +84,12 @@ def fold(text: str) -> str:
 
 
 def _windows(text: str | None):
-    if not text:
-        return
+    """(whether it is the last, folded window) of a text; windows end before a space."""
     at = 0
-    while at < len(text):
-        stop = at + WINDOW
-        if stop < len(text):
-            space = text.rfind(" ", at + WINDOW // 2, stop)
-            stop = space if space > 0 else stop
-        yield fold(text[at:stop])
+    while text and at < len(text):
+        stop = text.find(" ", at + WINDOW)
+        stop = len(text) if stop < 0 else stop
+        yield stop == len(text), fold(text[at:stop])
         at = stop
 
 
@@ -100,7 +97,7 @@ class Lexicon:
     """Entries with weights. A key that ends in a space is a whole word; else it begins words."""
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
-        self.weights = weights
+        self.weights, self.exceptions = weights, exceptions
         self.automaton = ahocorasick.Automaton()
         for key, w in weights.items():
             if (word := key.strip()) not in self.automaton:
@@ -109,6 +106,7 @@ class Lexicon:
         for phrase in map(fold, exceptions):
             n, pair = self.automaton.get(phrase)[:2] if phrase in self.automaton else (len(phrase), [None, None])
             self.automaton.add_word(phrase, (n, pair, True))
+        self.longest = max(map(len, self.automaton.keys()), default=0)
         if weights:
             self.automaton.make_automaton()
 
@@ -117,7 +115,11 @@ class Lexicon:
         total, count = 0.0, 0
         if not self.weights:
             return total, count
-        for folded in _windows(text):
+        carried, decided = "", 0  # the end of what was looked at, and the place in it where the next entry may begin
+        for last_window, more in _windows(text):
+            folded = carried + more
+            # up to here whatever could touch an entry is in sight
+            limit = len(folded) if last_window else max(decided, len(folded) - self.longest - 1)
             found: dict[int, float] = {}
             free: list[tuple[int, int]] = []
             for last, (n, (prefix, whole), exception) in self.automaton.iter(folded):
@@ -128,11 +130,13 @@ class Lexicon:
                 if exception and ends:
                     free.append((start, last))
                 w = max(prefix if prefix is not None else 0.0, whole if whole is not None and ends else 0.0)
-                if w > found.get(start, 0.0):
+                if decided <= start < limit and w > found.get(start, 0.0):
                     found[start] = w
             for start, w in found.items():
                 if not any(a <= start <= b for a, b in free):
                     total, count = total + w, count + 1
+            kept = min(len(folded), len(folded) - limit + self.longest + 1)
+            carried, decided = folded[len(folded) - kept :], kept - (len(folded) - limit)
         return total, count
 
 
@@ -186,8 +190,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> dict[str, float]:
         for k, before in _terms(t).items():
             if k in odds:
                 contexts.setdefault(k, set()).update(before)
-    kept = sorted((k for k in odds if len(contexts[k]) >= least), key=lambda k: (-odds[k], k))[:MOST_ENTRIES]
-    return {k: odds[k] for k in kept}
+    return {k: odds[k] for k in sorted(odds) if len(contexts[k]) >= least}
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -206,21 +209,21 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labelled documents that aren't held out (columns doc_id and text; doc_id and toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+    """Learn from the labelled documents that aren't held out (columns doc_id and text; doc_id and toxic). Of the texts of one id the least counts."""
     known = only(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).distinct()
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
     some = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionAll(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
     texts = only(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    picked = texts.join(F.broadcast(some), "doc_id").select("text", "toxic")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
-    rows = picked.orderBy(F.xxhash64("text")).limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
+    picked = texts.join(F.broadcast(some), "doc_id")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
+    rows = picked.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").collect()  # as many as ids were picked
     toxic, clean = [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
     if not toxic or not clean:
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
         z = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return Model(Lexicon({}), np.array([z, 0, 0, 0, 0], float))
-    lexicon = Lexicon(learn_lexicon(toxic, clean))
+        return Model(Lexicon({}, exceptions), np.array([z, 0, 0, 0, 0], float))
+    lexicon = Lexicon(learn_lexicon(toxic, clean), exceptions)
     texts_, y = toxic + clean, np.array([1.0] * len(toxic) + [0.0] * len(clean))
     found = [lexicon.match(t) for t in texts_]
     x = _features(np.array([a for a, _ in found]), np.array([n for _, n in found]), np.array([t.count(" ") + 1 for t in texts_]))
@@ -234,12 +237,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c not in added]
     docs = docs.select(*(F.col(f"`{c}`") for c in own))
     at, sc = own.index(text), docs.sparkSession.sparkContext
-    shared = sc.broadcast((model.lexicon.weights, model.curve))
+    shared = sc.broadcast((model.lexicon.weights, model.lexicon.exceptions, model.curve))
     built: list[Model] = []
 
     def run(batches):
         if not built:
-            built.append(Model(Lexicon(shared.value[0]), shared.value[1]))
+            weights, exceptions, curve = shared.value
+            built.append(Model(Lexicon(weights, exceptions), curve))
         for b in batches:
             s, n = built[0].scores(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(n)], names=[*own, *added])
