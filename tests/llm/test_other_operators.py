@@ -52,6 +52,44 @@ def test_topk(spark, monkeypatch, count, k):
     assert sorted(tuple(r) for r in found.collect()) == brute_topk(rows, set(range(0, count, 10)), k)
 
 
+def test_topk_of_repeated_ids(spark):
+    rows = [(i % 7, [float(i % 5), 1.0, float(i)]) for i in range(60)] + [(100, [9.0, 1.0, 59.0])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = topk.Index(df, 4)
+    found = topk.search(index, index.rows.where("id in (3, 100)").distinct())
+    want = []
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for qi, q in {(i, tuple(v)) for i, v in whole if i in (3, 100)}:
+        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in whole if i != qi)[:4]
+        want += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_topk_stops_early_on_clustered_vectors(spark):
+    """Most annuli stay closed where vectors lie in clusters; the answers are exact all the same."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.02).tolist()) for i in range(4000)]
+    index = topk.Index(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10)
+    found = topk.search(index, index.rows.where(F.col("id") % 100 == 0), opened=True).collect()
+    opened = {r.query_id: r.opened for r in found}
+    assert index.annuli > 100 and len(opened) == 40 and np.mean(list(opened.values())) < 0.2 * index.annuli
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute_topk(rows, set(range(0, 4000, 100)), 10)
+
+
+def test_topk_beside_a_huge_vector(spark):
+    rows = [(i, [float(i % 11), float(i % 3)]) for i in range(50)] + [(1000, [4e6, 0.0]), (1001, [-1e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.search(index := topk.Index(df, 3), index.rows.where("id in (0, 10)"))
+    whole = [(i, [int(math.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 10):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q][1], v, strict=True)), i) for i, v in whole if i != q)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_topk_of_large_vectors(spark):
     rows = [(i, [float(2 ** (9 + i % 7)) * (1 + i), float(i), 3.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
