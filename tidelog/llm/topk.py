@@ -9,7 +9,7 @@ Index: the distinct vectors, each with its nearest pivot and its distance to it,
 vectors of a bounded sample; their number grows with the root of the number of vectors, and so does an annulus until there are
 MOST_ANNULI. Vectors are kept in blocks of up to BLOCK, a row each, which hold whole annuli; a catalogue of all annuli is broadcast.
 
-Search: each query takes the annuli in order of their bounds, best first: a few, then WIDEN times as many in each further round.
+Search: each query takes the annuli in order of their bounds, best first: FIRST, then WIDEN times as many in each further round.
 It stops at the first whose bound is below the score that the worst of its answers has so far. Nothing beyond can hold an answer, so the result is exact.
 
 Equal vectors are one entry with the ids that can matter, and equal queries are asked once. Ties go to the smaller id. Vectors that are null, empty, of another length
@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import extended, map_batches, only, written
@@ -36,7 +36,7 @@ PIVOTS, PIVOT_RATE, SAMPLED, SAMPLE_BYTES = 16, 0.5, 8, 32 << 20
 ANNULUS, ANNULUS_RATE, MOST_ANNULI = 16, 0.25, 65_536
 BLOCK, QUERY_BLOCK = 2048, 256
 #: Annuli that a query opens in the first round, and by how much each further round is wider.
-FIRST, WIDEN = 8, 4
+FIRST, WIDEN = 16, 16
 #: Rows of blocks in an Arrow batch.
 LARGE_ROWS = 16
 #: Slack for distances and bounds, which are rounded; scores are whole numbers and aren't.
@@ -223,6 +223,10 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return lists.withColumn("worst", F.when(enough, F.expr(f"all[{k - 1} + array_max(transform(all, x -> size(filter(all, y -> y.vec_id = x.vec_id))))].score")))
 
 
+def search_nothing(spark: SparkSession, opened: bool) -> DataFrame:
+    return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint" + (", opened bigint" if opened else ""))
+
+
 def search(index: Index, queries: DataFrame, opened: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (id, v) of `queries`, against all rows of the index but the query's own.
 
@@ -230,7 +234,7 @@ def search(index: Index, queries: DataFrame, opened: bool = False) -> DataFrame:
     """
     spark, k = queries.sparkSession, index.k
     if index.blocks is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint" + (", opened bigint" if opened else ""))
+        return search_nothing(spark, opened)
     pivots, catalogue, blocks = index.pivots, index.catalogue, index.blocks
     asked = written(queries.select("v").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")  # one asks for all equal queries
 
@@ -299,11 +303,12 @@ def search(index: Index, queries: DataFrame, opened: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(qids)[rows]), pa.array(scores, pa.int64()), pa.array(found)], names=["qid", "score", "vec_id"])
 
     live, best, counts, width, first = asked, None, [], FIRST, True
-    done = 0
-    while True:
+    done, many = 0, live.count()
+    while many:
         asks = written(map_batches(live, aim(width, first), "block long, qid long, v array<double>, wants array<long>"), "asks")
-        # a block that many queries ask for is dealt to many tasks
-        dealt = asks.repartition("block", F.pmod(F.xxhash64("qid"), F.lit(16))).sortWithinPartitions("block")
+        # all queries may ask for one block: it is dealt to as many tasks as they fill with some query blocks each
+        salt = F.pmod(F.xxhash64("qid"), F.lit(-(-many // (4 * QUERY_BLOCK))))
+        dealt = asks.repartition("block", salt).sortWithinPartitions("block")
         packed = map_batches(dealt, pack, "asked long, qids array<long>, q binary, wants array<array<long>>")
         pairs = packed.join(blocks, F.col("asked") == F.col("block")).select("qids", "q", "wants", "vectors", "sizes", "ids")
         found = map_batches(pairs, scan, "qid long, score long, vec_id long", rows=LARGE_ROWS)
@@ -319,8 +324,9 @@ def search(index: Index, queries: DataFrame, opened: bool = False) -> DataFrame:
         full = taken.where(F.col("taken") == width).select(F.col("qid").alias("fqid"))
         on = live.select("v", "qid").join(full, F.col("qid") == F.col("fqid"), "left_semi").join(best.select(F.col("qid").alias("bqid"), "worst"), F.col("qid") == F.col("bqid"), "left")
         live, first, width = written(on.select("v", "qid", F.lit(done).alias("done"), "worst"), "live"), False, width * WIDEN
-        if not live.limit(1).count():
-            break
+        many = live.count()
+    if best is None:
+        return search_nothing(spark, opened)
     # to every query row of the class, its own id left out
     classes = queries.select("id", "v").join(asked.select(F.col("v").alias("w"), "qid"), F.col("v") == F.col("w")).select("id", "qid")
     each = classes.join(best.select(F.col("qid").alias("lqid"), "all"), F.col("qid") == F.col("lqid"))
