@@ -292,3 +292,37 @@ def test_pipeline_against_its_stages(spark):
             assert all(r.same and r.n_tokens == len(library.encode_ordinary(texts[r.doc_id])) for r in found)
         before, now = found, out
     assert langid.UNKNOWN == "und"
+
+
+@pytest.fixture(scope="module")
+def odd_documents():
+    """(doc_id, text, lang, source, n_chars, and columns with names that stages use): nulls, empty and long texts, repeated rows."""
+    rows = [(i, f"word{i % 7} plain text number {i} of some language", "en" if i % 2 else "de", "s", 10) for i in range(30)]
+    rows += [(None, None, None, None, None), (40, "", "en", "s", 0), (41, None, "en", "s", None), (42, "!! 12", None, None, 1), (43, "plain text of some language " * 20_000, "en", "s", 1)]
+    rows += [(50, "the same row twice", "en", "s", 1)] * 3 + [(None, "no id", "en", "s", 1)] * 2
+    names = ("row_key", "score", "rejected", "spans", "items", "predicted", "component_id", "fp", "n")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    return [(*r, *names) for r in rows], kinds
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_odd_and_empty_tables(spark, odd_documents, name):
+    stage, (rows, kinds) = dict(corpus_pipeline.STAGES)[name], odd_documents
+    docs, sf = spark.createDataFrame(rows, kinds), "/root/testdata/sf0.001"
+    found = stage(spark, docs, sf)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0) for r in found.collect()))
+    ids = sorted((r[0] is not None, r[0] or 0) for r in rows)
+    if name in ("toxicity", "decontamination", "tokens"):
+        assert got == ids
+    elif name == "language":
+        assert set(ids) - set(got) == {(True, i) for i in (40, 41, 42)} and len(got) == len(ids) - 4
+    else:  # the null and empty texts and the one without shingles of three are groups; of repeated rows one stays
+        prints = {}
+        for r in rows:
+            prints.setdefault(simhash.fingerprint(r[1]), set()).add((r[0] is None, r[0] or 0))
+        assert len(got) == len(set(got) | {None}) - 1 or got.count((False, 0)) <= 2
+        for group in prints.values():
+            assert sum((not a, b) in group for a, b in got) <= 2 and got.count((True, 50)) == 1
+    if name != "tokens":
+        assert found.columns == list(corpus_pipeline.COLUMNS)
+    assert stage(spark, docs.limit(0), sf).count() == 0

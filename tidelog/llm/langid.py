@@ -40,7 +40,7 @@ MOST_LANGUAGES = 512
 SHARD_VALUES, KEPT_SHARDS = 4_000_000, 4
 #: Characters of texts that are looked up at once in a model of more shards, for up to four languages (fewer for more).
 HELD = 16 << 20
-REJECT_SD, REJECT_NATS, REJECT_SYMBOLS = 10.0, 1.1, 20
+REJECT_SD, REJECT_NATS, REJECT_SYMBOLS = 10.0, 1.3, 20
 #: What the score's sharpness is chosen from: how fast it falls when another language comes close, in nats per symbol.
 SHARPNESS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
