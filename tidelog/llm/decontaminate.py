@@ -1,13 +1,12 @@
 """Benchmark decontamination: an FM-index of each training shard, searched for benchmark phrases.
 
-A phrase is a window of consecutive benchmark words (an item with fewer is one phrase). Words that no
-phrase has cannot be part of a match: they end segments, and segments shorter than the shortest phrase
-are left out of the index. What is left of a shard (some MB of text) is indexed; all phrases are
-searched backwards at once through wavelet ranks, found rows are located by sampled positions, and
-their spans merged.
+A phrase is a window of consecutive benchmark words (an item with fewer is one phrase). A shard is what a
+task gets at once, some MB of whole documents; all its words are indexed, each document as a segment (of a document
+of more than SHARD_WORDS words, pieces that overlap by a window). All phrases are searched backwards at once through wavelet
+ranks, found rows are located by sampled positions, and their spans merged.
 
-The benchmark is read in blocks of bounded size; each block passes over the documents once and merges
-its findings into what earlier blocks found, so a benchmark of any size works without a shuffle.
+The benchmark is read in blocks of bounded size, dealt by items' id and text, each broadcast on its own. A shard is indexed once and
+then searched for one block after the other; where there are more than KEPT_BLOCKS, a worker holds one at a time. So a benchmark of any size works in one pass without a shuffle.
 
 Null texts have no words. Items without words have no phrase; items with a null id mark words but add
 no id. An item that comes twice counts once. An empty benchmark finds nothing. Repeated and null
@@ -17,7 +16,7 @@ document ids are no problem: rows never meet.
 from __future__ import annotations
 
 import re
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ WINDOW = 10
 SHARD_WORDS = 2_000_000
 #: Benchmark bytes held (and broadcast) at a time.
 BENCHMARK_BLOCK = 16 << 20
+#: Blocks that a worker keeps open.
+KEPT_BLOCKS = 2
 #: Documents of more bytes are split into words a block at a time.
 BLOCK_BYTES, BLOCK_WORDS = 8 << 20, 500_000
 
@@ -78,62 +79,75 @@ class Phrases:
             self.rows[p, window - len(words) :] = words
         self.owner_of = np.array([o for s in owners for o in sorted(s)], np.int64)
         self.owner_at = np.concatenate(([0], np.cumsum([len(s) for s in owners], dtype=np.int64)))
-        self.shortest = int(self.sizes.min(initial=window))
 
 
-def _symbols(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    data, get = _spaced(text), known.get
+class _Vocabulary(dict):
+    """Words in the order in which they are met, from 1 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
+def _symbols(text: str | None, known: _Vocabulary) -> np.ndarray:
+    data, get = _spaced(text), known.__getitem__
     if len(data) <= BLOCK_BYTES:
         words = data.split()
-        return np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
+        return np.fromiter(map(get, words), np.int32, len(words))
     found, parts = _WORD.finditer(data), []
     while words := [m[0] for m in islice(found, BLOCK_WORDS)]:
-        parts.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+        parts.append(np.fromiter(map(get, words), np.int32, len(words)))
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
-def _occurrences(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, position) of every occurrence in a sequence in which zeros separate."""
-    empty = np.zeros(0, np.int64)
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], (symbols > 0).view(np.int8), [0]))))
-    starts, stops = edges[::2], edges[1::2]
-    long = stops - starts >= phrases.shortest
-    starts, stops = starts[long], stops[long]
-    if not len(starts):
-        return empty, empty
-    overlap = phrases.rows.shape[1] - 1
-    pieces: list[tuple[int, int]] = []
-    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        pieces += [(i, min(b, i + SHARD_WORDS)) for i in range(a, max(a + 1, b - overlap), SHARD_WORDS - overlap)]
-    which, where, at = [], [], 0
-    while at < len(pieces):
+class Shard:
+    """FM-indexes of all words of some texts."""
+
+    def __init__(self, texts: list[str | None], window: int):
+        self.words = _Vocabulary()
+        each = [_symbols(t, self.words) for t in texts]
+        self.counts = [len(s) for s in each]
+        self.starts = np.concatenate(([0], np.cumsum(np.array(self.counts, np.int64) + 1)))
+        overlap = window - 1
+        pieces = [(i, a, min(len(s), a + SHARD_WORDS)) for i, s in enumerate(each) if len(s) for a in range(0, max(1, len(s) - overlap), max(1, SHARD_WORDS - overlap))]
+        #: (index, place among all words of each of its symbols, its symbols' numbers among those of the shard)
+        self.indexes: list[tuple[FmIndex, np.ndarray, np.ndarray]] = []
         group, size = [], 0
-        while at < len(pieces) and (not group or size + pieces[at][1] - pieces[at][0] < SHARD_WORDS):
-            group.append(pieces[at])
-            size += pieces[at][1] - pieces[at][0] + 1
-            at += 1
-        a = np.array(group, np.int64)
-        sizes = a[:, 1] - a[:, 0] + 1  # and the zero behind each
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        origin = np.arange(offsets[-1]) + np.repeat(a[:, 0] - offsets[:-1], sizes)
-        text = symbols[np.minimum(origin, len(symbols) - 1)].copy()
-        text[offsets[1:] - 1] = 0
-        # symbols that this shard has, in dense numbering
-        used, text = np.unique(text, return_inverse=True)
-        dense = np.zeros(len(phrases.symbols) + 2, np.int64)
+        for piece in pieces:
+            if group and size + piece[2] - piece[1] >= SHARD_WORDS:
+                self._add(each, group)
+                group, size = [], 0
+            group.append(piece)
+            size += piece[2] - piece[1] + 1
+        if group:
+            self._add(each, group)
+
+    def _add(self, each: list[np.ndarray], group: list[tuple[int, int, int]]) -> None:
+        gap = np.zeros(1, np.int32)
+        text = np.concatenate([x for i, a, b in group for x in (each[i][a:b], gap)])
+        origin = np.concatenate([np.arange(self.starts[i] + a, self.starts[i] + b + 1) for i, a, b in group])
+        used = np.unique(text) if len(self.indexes) or len(self.words) >= len(text) else np.arange(len(self.words) + 1)
+        dense = np.zeros(len(self.words) + 1, np.int64)
         dense[used] = np.arange(len(used))
-        index = FmIndex(text)
-        rows = dense[phrases.rows]
-        rows[(rows == 0) & (phrases.rows > 0)] = len(used)  # not in this shard
-        low, high = index.search(rows, phrases.sizes)
-        count = np.maximum(high - low, 0)
-        p = np.repeat(np.arange(len(count)), count)
-        row = np.arange(len(p)) + np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-        which.append(p)
-        where.append(origin[index.locate(row)])
-    p, w = np.concatenate(which), np.concatenate(where)
-    both = np.unique(np.stack((w, p)), axis=1) if len(p) else np.zeros((2, 0), np.int64)  # overlaps find some twice
-    return both[1], both[0]
+        self.indexes.append((FmIndex(dense[text]), origin, dense))
+
+    def find(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, position among all words) of every occurrence."""
+        number = np.array([0, *(self.words.get(w, -1) for w in phrases.symbols)], np.int64)
+        which, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for index, origin, dense in self.indexes:
+            rows = number[phrases.rows]
+            rows = np.where(rows > 0, dense[np.maximum(rows, 0)], rows)
+            rows[(rows <= 0) & (phrases.rows > 0)] = index.size  # no word of this index
+            low, high = index.search(rows, phrases.sizes)
+            count = np.maximum(high - low, 0)
+            p = np.repeat(np.arange(len(count)), count)
+            row = np.arange(len(p)) + np.repeat(low - (np.cumsum(count) - count), count)
+            which.append(p)
+            where.append(origin[index.locate(row)])
+        p, w = np.concatenate(which), np.concatenate(where)
+        both = np.unique(np.stack((w, p)), axis=1) if len(p) else np.zeros((2, 0), np.int64)  # overlaps find some twice
+        return both[1], both[0]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,17 +160,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _findings(texts: list[str | None], phrases: Phrases) -> tuple[list[int], dict[int, tuple[list, set]]]:
-    """Number of words of each text; for those with occurrences, their spans and the places of their items."""
-    each = [_symbols(t, phrases.symbols) for t in texts]
-    counts = [len(s) for s in each]
-    gap = np.zeros(1, np.int32)
-    symbols = np.concatenate([x for s in each for x in (s, gap)]) if each else gap
-    starts = np.concatenate(([0], np.cumsum(np.array(counts, np.int64) + 1)))
+def _findings(shard: Shard, phrases: Phrases) -> dict[int, tuple[list, set]]:
+    """For the texts with occurrences, their spans and the places of their items."""
     found: dict[int, tuple[list, set]] = {}
-    p, where = _occurrences(symbols, phrases)
-    docs = np.searchsorted(starts, where, side="right") - 1
-    for d, k, a in zip(docs.tolist(), p.tolist(), (where - starts[docs]).tolist(), strict=True):
+    p, where = shard.find(phrases)
+    docs = np.searchsorted(shard.starts, where, side="right") - 1
+    for d, k, a in zip(docs.tolist(), p.tolist(), (where - shard.starts[docs]).tolist(), strict=True):
         spans, items = found.setdefault(d, ([], set()))
         stop = a + int(phrases.sizes[k])
         if spans and a <= spans[-1][1]:  # occurrences come in order of their start
@@ -164,7 +173,7 @@ def _findings(texts: list[str | None], phrases: Phrases) -> tuple[list[int], dic
         else:
             spans.append((a, stop))
         items.update(phrases.owner_of[phrases.owner_at[k] : phrases.owner_at[k + 1]].tolist())
-    return counts, found
+    return found
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -197,40 +206,40 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(size // BENCHMARK_BLOCK) + 1
-    state = docs.select(*(F.col(f"`{c}`") for c in own))
-    at, place = own.index(text), len(own)
+    at = own.index(text)
     names = [*own, "n_words", "spans", "items"]
+    shared = []
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window))
-        first, last = block == 0, cut and block == blocks - 1
-
-        def run(batches, shared=shared, first=first, last=last):
-            phrases = shared.value
-            for b in batches:
-                counts, found = _findings(b.column(at).to_pylist(), phrases)
-                n = len(counts)
-                spans, ids = [[] for _ in range(n)], [[] for _ in range(n)]
-                if not first:
-                    spans = [[(x["start"], x["stop"]) for x in s] for s in b.column(place + 1).to_pylist()]
-                    ids = b.column(place + 2).to_pylist()
-                for d, (new, owners) in found.items():
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+        rows = mine.groupBy("i", "t").count().collect()  # an item that comes often is sent once
+        shared.append(spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in rows], window)))
+
+    def run(batches):
+        for b in batches:
+            shard = Shard(b.column(at).to_pylist(), window)
+            n = b.num_rows
+            spans, ids = [[] for _ in range(n)], [[] for _ in range(n)]
+            for block in shared:
+                phrases = block.value
+                for d, (new, owners) in _findings(shard, phrases).items():
                     spans[d] = _merged(spans[d] + new)
-                    ids[d] = ids[d] + [phrases.ids[o] for o in sorted(owners)]
-                columns = list(b.columns[:place])
-                if last:
-                    texts = columns[at].to_pylist()
-                    columns[at] = pa.array([without_spans(t, s) if t and s else t for t, s in zip(texts, spans, strict=True)], columns[at].type)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *columns,
-                        pa.array(counts, pa.int64()),
-                        pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                        pa.array(ids, pa.list_(arrow_kind)),
-                    ],
-                    names=names,
-                )
-
-        schema = extended(docs.select(*(F.col(f"`{c}`") for c in own)).schema, ("n_words", "bigint"), ("spans", SPANS), ("items", f"array<{kind.simpleString()}>"))
-        state = map_batches(state, run, schema)
-    return state
+                    ids[d] += [i for i in (phrases.ids[o] for o in sorted(owners)) if i not in ids[d]]
+                if len(shared) > KEPT_BLOCKS:
+                    del phrases
+                    block.__dict__.pop("_value", None)  # it is read again where it is asked for
+            columns = list(b.columns)
+            if cut:
+                texts = columns[at].to_pylist()
+                columns[at] = pa.array([without_spans(t, s) if t and s else t for t, s in zip(texts, spans, strict=True)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *columns,
+                    pa.array(shard.counts, pa.int64()),
+                    pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                    pa.array(ids, pa.list_(arrow_kind)),
+                ],
+                names=names,
+            )
+
+    docs = docs.select(*(F.col(f"`{c}`") for c in own))
+    return map_batches(docs, run, extended(docs.schema, ("n_words", "bigint"), ("spans", SPANS), ("items", f"array<{kind.simpleString()}>")))

@@ -41,22 +41,35 @@ def _ones(words: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of the suffixes by prefix doubling. Zeros are ends of segments, each smaller than the next, so no
-    comparison goes past one; the sequence must end with a zero."""
+    comparison goes past one; the sequence must end with a zero.
+
+    The first sort takes as many symbols as fit into 63 bits; each further round sorts only suffixes that aren't alone yet.
+    """
     n = len(symbols)
     ends = symbols == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + int(ends.sum()))
-    _, rank = np.unique(rank, return_inverse=True)
-    reach = 1
+    code = np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + int(ends.sum()))
+    bits = max(1, int(code.max()).bit_length())
+    key, reach = code, 1
+    while (reach + 1) * bits <= 63 and reach < n:
+        later = np.zeros(n, np.int64)
+        later[: n - reach] = code[reach:]  # what stands behind an end never decides
+        key, reach = key << bits | later, reach + 1
+    order = np.argsort(key)
+    heads = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))  # a group's rank is its first place
     while True:
-        later = np.concatenate((rank[reach:], np.zeros(min(reach, n), np.int64)))[:n]
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        steps = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = steps
-        if steps[-1] == n - 1:
+        open_ = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+        if not len(open_):
             return order
+        at = order[open_]
+        behind = np.where(at + reach < n, rank[np.minimum(at + reach, n - 1)], 0)
+        key = rank[at] * n + behind
+        way = np.argsort(key)
+        at, key = at[way], key[way]
+        order[open_] = at
+        heads[open_] = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[at] = np.maximum.accumulate(np.where(heads[open_], open_, 0))
         reach *= 2
 
 
