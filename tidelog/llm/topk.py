@@ -310,7 +310,8 @@ def search(index: Index, queries: DataFrame, opened: bool = False) -> DataFrame:
         salt = F.pmod(F.xxhash64("qid"), F.lit(-(-many // (4 * QUERY_BLOCK))))
         dealt = asks.repartition("block", salt).sortWithinPartitions("block")
         packed = map_batches(dealt, pack, "asked long, qids array<long>, q binary, wants array<array<long>>")
-        pairs = packed.join(blocks, F.col("asked") == F.col("block")).select("qids", "q", "wants", "vectors", "sizes", "ids")
+        # never a broadcast: both sides grow with the tables, and rows of binaries are larger than their estimates
+        pairs = packed.join(blocks.hint("merge"), F.col("asked") == F.col("block")).select("qids", "q", "wants", "vectors", "sizes", "ids")
         found = map_batches(pairs, scan, "qid long, score long, vec_id long", rows=LARGE_ROWS)
         if best is not None:
             found = found.unionAll(best.select("qid", F.explode("all").alias("x")).select("qid", "x.score", "x.vec_id"))
