@@ -13,9 +13,9 @@ row: the window's least shingle in one order of the hashes. Two orders are the h
 two more those of the hash with its bits flipped by a mask; narrow windows use one or two of them.
 
 Before that, texts that cannot hold any template are set aside. Of each template a few words are taken such
-that fewer than 0.8 of its shingles are without any of them; a text with none of these words, not even inside
-other words, can't have enough of its shingles. This loses nothing. With too many templates for a short list
-of such words, all texts go through the windows.
+that fewer than 0.8 of its shingles are without any of them; a text with none of these words can't have enough
+of its shingles. This loses nothing. A short list is sought in the text as it comes, also inside other words; a
+longer one among the text's words. With more than MOST_TEMPLATES templates, all texts go through the windows.
 
 Null texts and texts without words have no shingles and no match. Repeated rows are scanned each on its
 own. Templates without words are never found; no templates or no texts: no rows.
@@ -40,7 +40,7 @@ WIDTHS = {1: (1, 1, 1), 2: (1, 2, 1), 4: (2, 5, 2), 16: (8, 23, 4)}
 FLIP = 0x5A5A5A5A5A5A5A5A
 #: Template band keys up to this number are broadcast (20 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 200_000
-#: Templates that are looked through for words that a text must have, and the longest list of those.
+#: Templates that are looked through for words that a text must have; a list of those up to this length is sought in unsplit texts.
 MOST_TEMPLATES, MOST_ANCHORS = 1000, 24
 
 # Public license notices.
@@ -178,21 +178,23 @@ def template_keys(templates: DataFrame) -> DataFrame:
     return rows.select("license", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def anchors(templates: list[str]) -> list[str]:
-    """Words of which a text has at least one if it has 0.8 of the shingles of any of the templates."""
+def anchors(templates: list[str], inside: bool = True) -> list[str]:
+    """Words of which a text has at least one (as a word or, if `inside`, within one) if it has 0.8 of the shingles of any of the templates."""
     chosen: list[str] = []
+    has = (lambda s, a: any(a in w for w in s)) if inside else (lambda s, a: a in s)
     for text in templates:
         own = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
         shingles = {tuple(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))} if own else set()
-        need = math.ceil(CONTAINED * len(shingles))
-
-        def without() -> list[tuple[str, ...]]:
-            return [s for s in shingles if not any(a in w for w in s for a in chosen)]
-
-        for word in sorted(set(own), key=lambda w: (-len(w), w)):
-            if len(without()) < need:
+        need, words_here = math.ceil(CONTAINED * len(shingles)), set(own)
+        known = chosen if inside else [a for a in chosen if a in words_here]
+        without = [s for s in shingles if not any(has(s, a) for a in known)]
+        for word in sorted(words_here, key=lambda w: (-len(w), w)):
+            if len(without) < need:
                 break
-            chosen.append(word)
+            fewer = [s for s in without if not has(s, word)]
+            if len(fewer) < len(without):
+                chosen.append(word)
+                without = fewer
     return chosen
 
 
@@ -207,10 +209,13 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     """(id, license, n_found, n_shingles, containment) of each template found in each text."""
     rows = only(docs, id_col, text_col).toDF("id", "text")
     known = templates.select("text").limit(MOST_TEMPLATES + 1).collect()
-    needed = anchors([r.text or "" for r in known]) if len(known) <= MOST_TEMPLATES else []
+    known = [r.text or "" for r in known] if len(known) <= MOST_TEMPLATES else []
+    needed = anchors(known)
     if 0 < len(needed) <= MOST_ANCHORS:
         rows = rows.where(reduce(or_, (F.lower("text").contains(a) for a in needed)))
     rows = rows.select("id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("words"))
+    if len(needed) > MOST_ANCHORS:
+        rows = rows.where(F.arrays_overlap("words", F.array(*map(F.lit, anchors(known, inside=False)))))
     rows = _with_flipped(_hashed(rows))
     s, f = F.col("shingles"), F.col("flipped")
     keys = F.concat(*(band for width, (stride, _, bands) in WIDTHS.items() for band in _bands(s, f, width, stride, bands)))
