@@ -1,6 +1,7 @@
 """Operators over documents against brute force on small tables with odd rows."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -8,14 +9,15 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tidelog.llm import bpe, decontaminate, fm_index, langid, licenses, rans, simhash, token_file, toxicity
+from tidelog.llm import bpe, decontaminate, fm_index, langid, licenses, pieces, rans, simhash, token_file, toxicity
 from tidelog.llm.common import new_path
 from tidelog.llm.queries import QUERIES
 
@@ -248,6 +250,71 @@ def test_codec_of_long_and_odd_texts(monkeypatch):
     assert found == [np.frombuffer(x, _codec.kind).tolist() for x in _codec.encode(texts)]
 
 
+def _split(texts):
+    data = np.frombuffer(b"".join(t.encode() + pieces.CLOSE for t in texts), np.uint8)
+    starts = _codec.runs.starts(data).tolist()
+    found = [data[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(data)], strict=False)]
+    ends = [i for i, p in enumerate(found) if p == pieces.CLOSE]
+    return [[p.decode() for p in found[i:j]] for i, j in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*_PARTS, "'", "'ll", "'r", "'re", "'m", "s", "d", "\u3000", "\U0001d7d8"]), max_size=12).map("".join), max_size=5))
+def test_runs_are_the_matches_of_the_pattern(texts):
+    assert _split(texts) == [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
+
+
+def test_runs_of_every_character():
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"{c}a {c}{c} 1{c}.{c}" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    assert _split(texts) == [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
+
+
+def test_codec_looks_up_distinct_pieces_only():
+    """What op4_token_file spends on a text: a look-up for each distinct piece of many texts, not for each piece."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    codec = token_file.LibraryCodec(JSON, public_tokenizers.PATTERN)
+    codec.known = Counted()
+    texts = ["the same few words again\n" * 1000] * 20
+    found = codec.encode(texts)
+    assert [np.frombuffer(x, codec.kind).tolist() for x in found] == [_library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert codec.known.n < 50
+
+
+@pytest.mark.parametrize("group", [12, 10**6])
+@pytest.mark.parametrize("more", [0, 2, 9])
+def test_codec_of_many_added_tokens_and_cut_texts(monkeypatch, tmp_path, group, more):
+    monkeypatch.setattr(token_file, "GROUP_CHARS", group)
+    library = Tokenizer.from_file(JSON)
+    library.add_tokens(["<a>", "<a> b", *(f"<{i}>" for i in range(9))][:more])
+    library.save(str(tmp_path / "own.json"))
+    codec = token_file.LibraryCodec(str(tmp_path / "own.json"), public_tokenizers.PATTERN)
+    assert bool(codec.marks) == (more < 9)
+    draw = random.Random(5)
+    texts = ["".join(draw.choices([*_PARTS, "<a>", " b", "<3>", "'ll"], k=draw.randrange(40))) for _ in range(300)]
+    assert [np.frombuffer(x, codec.kind).tolist() for x in codec.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("group", [30, 10**6])
+def test_codec_of_another_pattern(monkeypatch, group):
+    monkeypatch.setattr(token_file, "GROUP_CHARS", group)
+    pattern = r"\s+|\S+"
+    codec, library = token_file.LibraryCodec(JSON, pattern), Tokenizer.from_file(JSON)
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    texts = ["it's one  two\n", "", "caf\u00e9 \u4f60\u597d " * 9, "a<|endoftext|> b"]
+    assert [np.frombuffer(x, codec.kind).tolist() for x in codec.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = codec.flat(texts, np.array([7], codec.kind).tobytes())
+    assert sizes.tolist() == [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert (ids[np.cumsum(sizes) - 1] == 7).all()
+
+
 @pytest.mark.parametrize("partitions", [0, 5])
 def test_token_file(spark, partitions, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK_IDS", 50)

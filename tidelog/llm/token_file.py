@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
 from operator import lt
 
 import numpy as np
@@ -27,20 +26,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidelog.llm import rans
 from tidelog.llm.bpe import Splitter
 from tidelog.llm.common import map_batches, new_path, only, remove, worker_cache
+from tidelog.llm.pieces import CLOSE, MARKS, PATTERN, Runs
 
 #: Ids after which a block is closed (a document is never cut), and ids that are coded side by side.
 BLOCK_IDS, GROUP_IDS = 65_536, 3_000_000
 GROUP_BLOCKS = 48
 CACHE_PIECES = 1_200_000
-#: Characters of text split at a time, and pieces that are handed to the library at once.
-GROUP_CHARS, JOINED = 120_000, 2000
+#: Characters (bytes) of text split at a time, and pieces that are handed to the library at once.
+GROUP_CHARS, JOINED = 4_000_000, 2000
+#: GPT-2's pattern always ends a piece here.
+SURE = re.compile(r"\S(?=[ \n])")
 
 
 class LibraryCodec:
     """Whole texts by the tokenizers library, which sees each distinct piece of its split once.
 
-    The library encodes the pieces of its pattern independently. Pieces not seen lately are handed to it as
-    pieces, many at a time; how many bytes each token spells tells which of the ids are whose.
+    The library encodes the pieces of its pattern independently. Texts are split many at a time, and what of their
+    distinct pieces was not seen lately is handed to the library as pieces; how many bytes each token spells tells
+    which of the ids are whose.
 
     Added tokens are cut out of a text first, as the library does; their strings never reach the pieces.
     """
@@ -65,64 +68,129 @@ class LibraryCodec:
         for token, i in vocabulary.items():
             self.bytes_in[i] = len(token)
         self.splitter = Splitter(pattern)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
-        encoded = self.library.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        self.runs = Runs() if pattern == PATTERN else None
+        #: Added tokens that may stand among other bytes as a byte of their own, which UTF-8 doesn't have.
+        self.marks: dict[bytes, bytes] = {}
+        if self.runs and added and not greedy and len(added) <= len(MARKS):
+            self.marks = {a.encode(): bytes([m]) for a, m in zip(longest_first, MARKS, strict=False)}
+            self.marked = re.compile(b"|".join(map(re.escape, self.marks)))
+        self.closed = {m: np.array([self.added[a.decode()]], self.kind).tobytes() for a, m in self.marks.items()}
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, pieces: list[bytes]) -> None:
         width = self.kind.itemsize
-        for group, e in zip(groups, encoded, strict=True):
+        for i in range(0, len(pieces), JOINED):
+            group = pieces[i : i + JOINED]
+            e = self.library.encode_batch_fast([[p.decode() for p in group]], is_pretokenized=True, add_special_tokens=False)[0]
             ids = np.array(e.ids, self.kind)
             reach = np.cumsum(self.bytes_in[ids])
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)))
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
             cuts = np.searchsorted(reach, ends) + 1
             if (reach[cuts - 1] != ends).any():
                 raise ValueError("the library's tokens don't spell the pieces")
             data, cuts = ids.tobytes(), (width * cuts).tolist()
             self.known.update(zip(group, [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
 
-    def _packed(self, lists: list[list[str]]) -> list[bytes]:
+    def _ids(self, data: np.ndarray, starts: np.ndarray, close: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that start at `starts`, those of CLOSE being `close`; and how many ids each closed text has.
+
+        Pieces of one of MARKS are added tokens.
+        """
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        get, pieces = self.known.get, list(chain.from_iterable(lists))
-        found = list(map(get, pieces))
+        self.known.update(self.closed)
+        self.known[CLOSE] = close
+        get = self.known.get
+        found = list(map(get, distinct))
         if gaps := [i for i, x in enumerate(found) if x is None]:
-            self._learn(list({pieces[i] for i in gaps}))
+            self._learn([distinct[i] for i in gaps])
             for i in gaps:
-                found[i] = get(pieces[i])
-        ends = list(accumulate(map(len, lists)))
-        return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        return self._packed([self.splitter.findall(t) for t in texts])
-
-    def _around_added(self, text: str) -> bytes:
-        """Packed ids of a text that holds added tokens."""
+                found[i] = get(distinct[i])
+        pool = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        codes = pieces.indices.to_numpy()
+        each = sizes[codes]
+        reach = np.cumsum(each, dtype=np.int32)
+        total = int(reach[-1]) if len(reach) else 0
+        ids = pool[np.repeat(first[codes] - reach + each, each) + np.arange(total, dtype=np.int32)]
+        return ids, np.diff(reach[data[starts] == CLOSE[0]], prepend=0)
+
+    def _of_lists(self, lists: list[list[str]], close: bytes) -> tuple[np.ndarray, np.ndarray]:
+        data, sizes = [], []
+        for pieces in lists:
+            text = "".join(pieces)
+            data += [text.encode(), CLOSE]
+            sizes += map(len, pieces if text.isascii() else map(str.encode, pieces))
+            sizes.append(1)
+        ends = np.cumsum(np.array(sizes, np.int64))
+        return self._ids(np.frombuffer(b"".join(data), np.uint8), ends - np.array(sizes, np.int64), close)
+
+    def _group(self, texts: list, close: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts as `_ready` returns them."""
+        if not self.runs:
+            return self._of_lists([self.splitter.findall(t) for t in texts], close)
+        data = np.frombuffer(b"".join([x for t in texts for x in (t, CLOSE)]), np.uint8)
+        return self._ids(data, self.runs.starts(data), close)
+
+    def _ready(self, text: str, odd: bool = False) -> bytes | str:
+        """What a group holds of a text, `odd` if it holds added tokens: its bytes, these as marks; without `runs`, itself."""
+        if not self.runs:
+            return text
+        return self.marked.sub(lambda m: self.marks[m[0]], text.encode()) if odd else text.encode()
+
+    def _long(self, text: str) -> list[np.ndarray]:
+        """Ids of a text of more than GROUP_CHARS, cut where a piece surely ends; where there is no such place, its pieces are matched a block at a time."""
+        out, at = [], 0
+        while at < len(text):
+            cut = SURE.search(text, at + GROUP_CHARS // 2) if self.runs else None
+            part = text[at : cut.end() if cut else None]
+            at += len(part)
+            if self.runs and len(part) <= GROUP_CHARS:
+                out.append(self._group([self._ready(part)], b"")[0])
+            else:
+                out += [self._of_lists([block], b"")[0] for block in self.splitter.blocks(part, max(1, GROUP_CHARS // 16))]
+        return out
+
+    def _around_added(self, text: str) -> np.ndarray:
+        """Ids of a text that holds added tokens."""
         if self.whole:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
         parts = self.cut.split(text)
         between = iter(self.encode(parts[::2]))
-        return b"".join(next(between) if i % 2 == 0 else np.array([self.added[p]], self.kind).tobytes() for i, p in enumerate(parts))
+        return np.frombuffer(b"".join(next(between) if i % 2 == 0 else np.array([self.added[p]], self.kind).tobytes() for i, p in enumerate(parts)), self.kind)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids (of type `kind`) of each text."""
-        out: list[bytes] = []
+    def flat(self, texts: list[str | None], close: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids (of type `kind`) of all texts, one behind the other, each text followed by the packed ids `close`; and how many each has."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         group: list[str] = []
         size, added = 0, list(self.added)
+        end = np.frombuffer(close, self.kind)
         for text in texts:
             text = text or ""
             odd = any(a in text for a in added)
-            if odd or len(text) > GROUP_CHARS:
-                out += self._group(group)
+            if (odd and not self.marks) or len(text) > GROUP_CHARS:
+                out.append(self._group(group, close))
                 group, size = [], 0
-                out.append(self._around_added(text) if odd else b"".join(self._packed([block])[0] for block in self.splitter.blocks(text, GROUP_CHARS // 4)))
+                ids = np.concatenate([*([self._around_added(text)] if odd else self._long(text)), end])
+                out.append((ids, np.array([len(ids)], np.int32)))
                 continue
-            group.append(text)
-            size += len(text)
+            group.append(self._ready(text, odd))
+            size += len(group[-1])
             if size > GROUP_CHARS:
-                out += self._group(group)
+                out.append(self._group(group, close))
                 group, size = [], 0
-        return out + self._group(group)
+        out.append(self._group(group, close))
+        return np.concatenate([ids for ids, _ in out]), np.concatenate([n for _, n in out]).astype(np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids (of type `kind`) of each text."""
+        ids, sizes = self.flat(texts)
+        data, ends = ids.tobytes(), (self.kind.itemsize * np.cumsum(sizes)).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def id_type(size: int) -> np.dtype:
@@ -198,13 +266,14 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
                 found = b.column(0).to_pylist()
                 fine = fine and (last is None or last < found[0]) and all(map(lt, found, found[1:]))
                 last = found[-1]
-            packed = [p + end for p in codec.encode(b.column(1).to_pylist())]
-            sizes = np.fromiter((len(p) // width for p in packed), np.int64, len(packed))
-            before = at + np.cumsum(sizes) - sizes
-            at += int(sizes.sum())
-            column = pa.array(packed, pa.binary())
-            del packed
-            ids = np.frombuffer(column.buffers()[2], codec.kind, int(sizes.sum()))
+            ids, sizes = codec.flat(b.column(1).to_pylist(), end)
+            ends = np.cumsum(sizes)
+            offsets = np.concatenate(([0], width * ends))
+            if offsets[-1] >= 1 << 31:
+                raise ValueError("the ids of a batch don't fit a column")
+            column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+            before = at + ends - sizes
+            at += len(ids)
             for i in range(0, len(ids), 1 << 20):
                 counts += np.bincount(ids[i : i + (1 << 20)], minlength=codec.size)
             part = b.column(2)[:1] if b.num_rows else part
@@ -331,15 +400,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, GROUP_BLOCKS):
                 c = [x.to_pylist() for x in b.slice(i, GROUP_BLOCKS).columns]
-                ids, starts, docs = [], [], []
-                for start, names, sizes, found in zip(*c[:3], rans.decode_blocks(c[3], table), strict=True):
-                    data, at = found.astype("<u4").tobytes(), 0
-                    for n in sizes:
-                        starts.append(start + at)
-                        ids.append(data[4 * at : 4 * (at + n)])
-                        at += n
-                    docs += names
-                yield pa.RecordBatch.from_arrays([pa.array(docs, b.column(1).type.value_type), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["id", "start", "ids"])
+                for start, names, sizes, found in zip(*c[:3], rans.decode_blocks(c.pop(), table), strict=True):
+                    ends = start + np.cumsum(np.array(sizes, np.int64))
+                    offsets = 4 * np.concatenate(([0], ends - start))
+                    if offsets[-1] >= 1 << 31:
+                        raise ValueError("the ids of a block don't fit a column")
+                    ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(found.astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, b.column(1).type.value_type), pa.array(ends - sizes), ids], names=["id", "start", "ids"])
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     return map_batches(blocks, run, f"id {kind}, start bigint, ids binary", rows=GROUP_BLOCKS)
